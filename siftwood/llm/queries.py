@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftwood.llm import language_id
+from siftwood.llm import language_id, substring_dedup
 from siftwood.llm.common import read
 
 
@@ -14,9 +15,27 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.dedup_substrings(read(spark, sf_dir, "documents"), min_words=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS gram
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) >= 13)),
+least AS (SELECT gram, min(doc_id) AS low FROM windows GROUP BY gram),
+hit AS (SELECT DISTINCT doc_id, i FROM windows JOIN least USING (gram) WHERE low < doc_id),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS at FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(at), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN at IS NULL THEN w ELSE [x FOR x, k IN w IF NOT list_contains(at, k)] END, ' ')) AS kept_sha256
+FROM docs LEFT JOIN gone USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id}
+    return {"op1_language_id": op1_language_id, "op3_substring_dedup": op3_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_substring_dedup": OP3_SQL}
