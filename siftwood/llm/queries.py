@@ -26,9 +26,9 @@ windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS gram
             FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) >= 13)),
 least AS (SELECT gram, min(doc_id) AS low FROM windows GROUP BY gram),
 hit AS (SELECT DISTINCT doc_id, i FROM windows JOIN least USING (gram) WHERE low < doc_id),
-gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS at FROM hit GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(at), 0)::BIGINT AS n_removed,
-       sha256(array_to_string(CASE WHEN at IS NULL THEN w ELSE [x FOR x, k IN w IF NOT list_contains(at, k)] END, ' ')) AS kept_sha256
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS spots FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(spots), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN spots IS NULL THEN w ELSE [x FOR x, k IN w IF NOT list_contains(spots, k)] END, ' ')) AS kept_sha256
 FROM docs LEFT JOIN gone USING (doc_id)
 """
 
