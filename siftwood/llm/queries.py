@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwood.llm import language_id, substring_dedup
+from siftwood.llm import language_id, simhash, substring_dedup
 from siftwood.llm.common import read
 
 
@@ -33,8 +33,16 @@ FROM docs LEFT JOIN gone USING (doc_id)
 """
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op3_substring_dedup": op3_substring_dedup}
+    return {
+        "op1_language_id": op1_language_id,
+        "op3_substring_dedup": op3_substring_dedup,
+        "op4_simhash": op4_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
