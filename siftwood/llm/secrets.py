@@ -26,7 +26,7 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = "AKIA[A-Z0-9]{16,}+"
 HEX = "[0-9a-f]{24,}+"
-#: A token that may be random: long, with a letter and a digit.
+#: A token that may be random: long, with letters behind digits and digits behind letters.
 TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 WORD = r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]{7,}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
@@ -71,7 +71,7 @@ def train(labelled: DataFrame) -> list[float]:
         return out
 
     # random strings may use any alphabet: half of their model stays uniform
-    random, ordinary = log_model(counts[True], 0.5), log_model(counts[False], 0.0)
+    random, ordinary = log_model(counts[True], 0.5), log_model(counts[False], 0.05)
     return [r - o for r, o in zip(random, ordinary, strict=True)]
 
 
@@ -91,7 +91,7 @@ def _ordinary_words(df: DataFrame, text_col: str, n: int) -> DataFrame:
     return words.distinct().orderBy(F.xxhash64("token"), "token").limit(SAMPLE_WORDS)
 
 
-def find(df: DataFrame, key: list[str], text_col: str = "text", labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+def find(df: DataFrame, key: list[str], text_col: str = "text", labelled: DataFrame | None = None, threshold: float = 1.5) -> DataFrame:
     """The key columns, base (tagged base spans by start, then kind) and random (spans
     that the models add, by start) of every row.
 
@@ -99,7 +99,7 @@ def find(df: DataFrame, key: list[str], text_col: str = "text", labelled: DataFr
     mean log likelihood ratio exceeds ``threshold`` (nats a character).
     """
     rows = df.select(*key, text_or_empty(F.col(text_col)).alias("__text"))
-    candidates = F.filter(matches(F.col("__text"), TOKEN), lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]"))
+    candidates = F.filter(matches(F.col("__text"), TOKEN), lambda x: x["text"].rlike("[0-9][A-Za-z]") & x["text"].rlike("[A-Za-z][0-9]"))
     rows = rows.select(*key, *[s.alias(f"__{k}") for k, s in base_spans(F.col("__text")).items()], tagged("random", candidates).alias("__tokens"))
     rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     ordered = F.array_sort(F.transform(F.concat(*[F.col(f"__{k}") for k in KINDS]), lambda x: F.struct(x["start"].alias("start"), F.element_at(rank, x["kind"]).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), x["text"].alias("text"))))
