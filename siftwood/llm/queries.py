@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwood.llm import language_id, pii, secrets, simhash, substring_dedup, syncmers
+from siftwood.llm import language_id, pii, secrets, simhash, substring_dedup, syncmers, url_filter
 from siftwood.llm.common import read
 
 
@@ -49,6 +49,10 @@ def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_edits(read(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_secrets": op5_secrets,
         "op6_syncmers": op6_syncmers,
+        "op8_url_filter": op8_url_filter,
     }
 
 
