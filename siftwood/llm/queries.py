@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwood.llm import language_id, pii, secrets, simhash, substring_dedup, syncmers, url_filter
+from siftwood.llm import language_id, pii, secrets, simhash, substring_dedup, syncmers, url_filter, warc
 from siftwood.llm.common import read
 
 
@@ -49,6 +49,23 @@ def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_edits(read(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(read(spark, sf_dir, "pages"), revisit_bytes=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda b:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (5 * g + 1)::INT, 5))::BIGINT >> b) & 31)::INT + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM d
+"""
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
@@ -61,9 +78,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_secrets": op5_secrets,
         "op6_syncmers": op6_syncmers,
+        "op7_warc": op7_warc,
         "op8_url_filter": op8_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op7_warc": OP7_SQL}
