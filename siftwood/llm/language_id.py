@@ -173,7 +173,7 @@ def predict(df: DataFrame, model: Model, key: list[Column], text: str = "text",
     Only the text decides. ``ambiguous`` marks scores under ``ambiguous_below``.
     """
     source = df.select(*key, F.col(text).cast("string").alias("__text"), F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
-    fields = [f for f in source.schema.fields if not f.name.startswith("__")]
+    fields = source.schema.fields[: len(key)]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double, ambiguous boolean"])
     model = Model(model.languages, model.code, np.ascontiguousarray(model.weights), model.sharpness)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwood.llm import language_id, pii, secrets, simhash, substring_dedup, syncmers, url_filter, warc
+from siftwood.llm import decontaminate, language_id, mixing, pii, secret_scan, simhash, substring_dedup, syncmers, url_filter, warc
 from siftwood.llm.common import read
 
 
@@ -42,7 +42,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.find(read(spark, sf_dir, "documents"), ["doc_id"]))
+    return secret_scan.digest(secret_scan.find(read(spark, sf_dir, "documents"), ["doc_id"]))
 
 
 def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,14 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(read(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -80,8 +88,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_syncmers": op6_syncmers,
         "op7_warc": op7_warc,
         "op8_url_filter": op8_url_filter,
+        "op9_mixing": op9_mixing,
+        "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op7_warc": OP7_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op7_warc": OP7_SQL, "op9_mixing": mixing.sql()}
