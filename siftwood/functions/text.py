@@ -84,10 +84,11 @@ def text_match(text: Column, argument: str, exact: bool = False) -> Column:
 def trigrams(text: Column) -> Column:
     """The different trigrams (ASCII-folded) of a text, by characters."""
     folded = ascii_lower(text)
-    n = F.length(folded)
-    letters = F.split(folded, "")
-    three = F.zip_with(F.zip_with(letters, F.slice(letters, 2, F.greatest(n - 1, F.lit(0))), F.concat), F.slice(letters, 3, F.greatest(n - 2, F.lit(0))), F.concat)
-    return F.when(n >= 3, F.array_distinct(F.filter(three, lambda x: F.length(x) == 3))).otherwise(F.array().cast("array<string>"))
+    letters = F.filter(F.split(folded, ""), lambda c: c != "")
+    n = F.greatest(F.size(letters) - 2, F.lit(0))
+    join = lambda a, b: F.concat(a, b)
+    pairs = F.zip_with(F.slice(letters, 1, n), F.slice(letters, 2, n), join)
+    return F.array_distinct(F.zip_with(pairs, F.slice(letters, 3, n), join))
 
 
 def trigram_keys(literal: str) -> list[str]:

@@ -472,6 +472,10 @@ def find(entries: DataFrame, args: list[str], context: Context, call=None) -> Da
     and target. ``-quit`` keeps the first entry in walk order that reaches it."""
     plan = parse(args)
     _, pruned, actions = compile_expression(plan, context, call)
+    for name in ("user_name", "group_name", "fs_type", "follow_kind"):
+        # dimensions that weren't joined are unknown
+        if name not in entries.columns:
+            entries = entries.withColumn(name, F.lit(None).cast("string"))
     rows = visited(entries, plan, pruned)
     if plan.options.least:
         rows = rows.filter(F.col("depth") >= plan.options.least)
