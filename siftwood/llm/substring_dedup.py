@@ -395,12 +395,13 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = np.array([r.anchor for r in hot.collect()], np.int64).view(np.uint64)
     first = merged(exchanged(narrow.mapInArrow(_emit_segments(min_words, parts, hot), _PACKED)).mapInArrow(_judge(parts), _PACKED))
     first = checkpoint(first)
+    # both joins below ask this exchange for all its columns, so it runs once
     docs = docs.repartition(partitions, "doc", "check")
     asked = docs.join(first.filter("need is not null").select("doc", "check", "need").hint("shuffle_hash"), ["doc", "check"])
-    second = merged(exchanged(asked.select("text", "need").mapInArrow(_emit_content(min_words, parts), _PACKED)).mapInArrow(_match(min_words, parts), _PACKED))
+    second = merged(exchanged(asked.select("doc_id", "doc", "check", "text", "need").mapInArrow(_emit_content(min_words, parts), _PACKED)).mapInArrow(_match(min_words, parts), _PACKED))
     one = first.filter("spans is not null").select("doc", "check", F.col("spans").alias("spans1"))
     two = second.select("doc", "check", F.col("spans").alias("spans2"))
     # rows of one id and check are one document: at most one row of findings each
     joined = docs.join(one.hint("shuffle_hash"), ["doc", "check"], "left").join(two.hint("shuffle_hash"), ["doc", "check"], "left")
     schema = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept string"
-    return joined.select("doc_id", "text", "spans1", "spans2").mapInArrow(_finish, schema)
+    return joined.select("doc_id", "doc", "check", "text", "spans1", "spans2").mapInArrow(_finish, schema)
