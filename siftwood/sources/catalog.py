@@ -82,8 +82,10 @@ def resolve_paths(edges: DataFrame, most_depth: int = 64) -> DataFrame:
     levels, frontier = [known], known
     children = edges.filter("parent is not null")
     for depth in range(1, most_depth):
-        frontier = children.join(frontier.select(F.col("node").alias("parent"), F.col("path").alias("above")), "parent").select("node", F.concat("above", F.lit("/"), "name").alias("path"), F.lit(depth).alias("depth"))
+        frontier = children.join(frontier.select(F.col("node").alias("parent"), F.col("path").alias("above")), "parent").select("node", F.concat("above", F.lit("/"), "name").alias("path"), F.lit(depth).alias("depth")).persist()
+        # each level is computed once: for the test, the next level and the result
         if frontier.isEmpty():
+            frontier.unpersist()
             break
         levels.append(frontier)
     out = levels[0]
