@@ -6,15 +6,15 @@ placeholders. Windows of template tokens of the benchmark are hashed; the window
 every document probe them. A hit keeps only if its slots are consistent: over all hits
 of an item on one alignment, every slot value of the item stands for one value of the
 document, so a question with other numbers or names is caught and a chance agreement of
-templates is not. A document is contaminated when hits cover ``coverage`` of an item's
-informative windows (those with at least LITERALS words that are no slots).
+templates is not. Windows of fewer than LITERALS words that are no slots say too little as
+templates; they match by their very words instead. A document is contaminated when hits
+cover ``coverage`` of an item's windows, or of its windows with enough words.
 
 The benchmark's windows travel to the executors only in shards of a bounded number of
 items; a larger benchmark takes as many passes as it has shards.
 
 Edge cases: null text counts as empty and is clean, null items are left out. Items of
-fewer tokens than a window are matched as a whole; an item without an informative
-window matches nothing. Repeated rows and items are judged alike.
+fewer tokens than a window are matched as a whole, items without a token never. Repeated rows and items are judged alike.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from siftwood.llm.words import blocks, hash_runs, hash_words, text_bytes
 
 WINDOW, LITERALS, SHARD_ITEMS = 8, 5, 50_000
+#: Windows with enough words that an item needs to be judged by them alone.
+RICH_WINDOWS = 4
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0x11F0A1D3C5B79E21, 0x22E1B2C4D6A88F33, 0x33D2C3B5E7997045))
 UNITS = "kg g mg lb lbs oz t km m cm mm mi ft in yd l ml gal h hr hrs hour hours min mins minute minutes s sec second seconds day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent pct mph kmh w kw v a hz khz mhz ghz kb mb gb tb c f k".split()
 
@@ -103,12 +105,14 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class Shard:
-    """Windows of some items: by length, sorted hashes with their item and position."""
+    """Windows of some items: by length and whether they match by their very words,
+    sorted hashes with their item and position; rich and all count each item's windows."""
 
     items: list
     tokens: list[tuple[np.ndarray, np.ndarray]]
-    informative: list[int]
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    rich: list[int]
+    all: list[int]
+    windows: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _is_slot(template: np.ndarray) -> np.ndarray:
@@ -126,21 +130,24 @@ def build_shard(items: list[tuple]) -> Shard:
     """From (item id, text) rows."""
     data, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
     template, value, first = templates(data, offsets)
-    tokens, informative, found = [], [], {}
+    tokens, rich, every, found = [], [], [], {}
     for k in range(len(items)):
         t, v = template[first[k] : first[k + 1]], value[first[k] : first[k + 1]]
         tokens.append((t, v))
         length = min(WINDOW, len(t))
-        usable = np.flatnonzero(_literal_runs(t, length)) if length else np.zeros(0, int)
-        informative.append(len(usable))
-        if len(usable):
-            found.setdefault(length, []).append((hash_runs(t, length)[usable], np.full(len(usable), k), usable))
+        enough = _literal_runs(t, length) if length else np.zeros(0, bool)
+        rich.append(int(enough.sum()))
+        every.append(len(enough))
+        for exact, own in ((False, t), (True, v)):
+            at = np.flatnonzero(enough != exact)
+            if len(at):
+                found.setdefault((length, exact), []).append((hash_runs(own, length)[at], np.full(len(at), k), at))
     windows = {}
-    for length, parts in found.items():
+    for key, parts in found.items():
         h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
-        windows[length] = h[order], item[order], at[order]
-    return Shard([i for i, _ in items], tokens, informative, windows)
+        windows[key] = h[order], item[order], at[order]
+    return Shard([i for i, _ in items], tokens, rich, every, windows)
 
 
 def check_document(shard: Shard, template: np.ndarray, value: np.ndarray, hits: list[tuple[int, int, int, int]]) -> tuple[int, int | None, float, int]:
@@ -163,18 +170,23 @@ def check_document(shard: Shard, template: np.ndarray, value: np.ndarray, hits:
             slots.update(own)
             accepted.setdefault(item, set()).add(at)
             changed.setdefault(item, set()).update(k for k, n in own.items() if k[1] != n)
-    best = max(accepted, key=lambda i: (len(accepted[i]) / shard.informative[i], -i), default=None)
+
+    def share(i: int) -> float:
+        words = sum(at in accepted[i] for at in np.flatnonzero(_literal_runs(shard.tokens[i][0], min(WINDOW, len(shard.tokens[i][0])))).tolist())
+        return max(len(accepted[i]) / shard.all[i], words / shard.rich[i] if shard.rich[i] >= RICH_WINDOWS else 0.0)
+
+    best = max(accepted, key=lambda i: (share(i), -i), default=None)
     if best is None:
         return 0, None, 0.0, 0
-    return len(accepted), best, len(accepted[best]) / shard.informative[best], len(changed[best])
+    return len(accepted), best, share(best), len(changed[best])
 
 
 def _probe(shard: Shard, keep: list[str]):
     filters = {}
-    for length, (h, _, _) in shard.windows.items():
+    for key, (h, _, _) in shard.windows.items():
         table = np.zeros(1 << 20, bool)
         table[(h >> np.uint64(44)).astype(np.int64)] = True
-        filters[length] = table
+        filters[key] = table
 
     def run(batches):
         for batch in batches:
@@ -183,9 +195,9 @@ def _probe(shard: Shard, keep: list[str]):
             for i, j in blocks(offsets):
                 template, value, first = templates(data, offsets[i : j + 1])
                 hits: dict[int, list] = {}
-                for length, (h, item, at) in shard.windows.items():
-                    own = hash_runs(template, length)
-                    pos = np.flatnonzero(filters[length][(own >> np.uint64(44)).astype(np.int64)])
+                for (length, exact), (h, item, at) in shard.windows.items():
+                    own = hash_runs(value if exact else template, length)
+                    pos = np.flatnonzero(filters[length, exact][(own >> np.uint64(44)).astype(np.int64)])
                     row = np.searchsorted(first, pos, side="right") - 1
                     pos = pos[pos + length <= first[row + 1]]
                     low, high = np.searchsorted(h, own[pos], "left"), np.searchsorted(h, own[pos], "right")
