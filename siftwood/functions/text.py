@@ -74,8 +74,10 @@ def text_match(text: Column, argument: str, exact: bool = False) -> Column:
         return F.lit(False)
     line = F.concat(F.lit(" "), fold(F.regexp_replace(F.regexp_replace(text, EDGE, " "), rf"[^\p{{IsAlphabetic}}\p{{N}}]+", " ")), F.lit(" "))
     found = line.contains(" " + " ".join(words) + " ")
-    if re.fullmatch(r"\w+", argument) and "_" in argument:
-        found = found | F.array_contains(F.transform(runs(text), fold), argument if exact else argument.lower())
+    if re.fullmatch(r"\w+", argument):
+        # one run may also be a whole token: httprequest in HttpRequest
+        whole = F.concat(F.lit(" "), fold(F.regexp_replace(text, rf"[^\p{{IsAlphabetic}}\p{{N}}_]+", " ")), F.lit(" "))
+        found = found | whole.contains(f" {argument if exact else argument.lower()} ")
     for word in dict.fromkeys(words):
         found = fold(text).contains(word) & found
     return F.coalesce(found, F.lit(False))

@@ -39,6 +39,12 @@ HIT = "SELECT path, kind AS type, size, mtime_s AS mtime, doc_id AS doc, NULL::B
 UNITS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(\p{{N}})([^\p{{N}}_])', '\1 \2', 'g'), '([^\p{{N}}_])(\p{{N}})', '\1 \2', 'g'), '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g')"
 LINE_TEXT = "(' ' || lower(regexp_replace(" + UNITS.format("text") + r", '[^\p{L}\p{N}]+', ' ', 'g')) || ' ')"
 
+RUN_TEXT = r"(' ' || regexp_replace(text, '[^\p{L}\p{N}_]+', ' ', 'g') || ' ')"
+
+
+def _term(word: str) -> str:
+    return f"(contains({LINE_TEXT}, ' {word} ') OR contains(lower({RUN_TEXT}), ' {word} '))"
+
 
 def query(name: str, sql: str | None = None):
     def keep(run: Query) -> Query:
@@ -71,11 +77,11 @@ _search("ext", ["ext:txt", "NOT", "ext:rs"], "ends_with(lower(name), '.txt') AND
 _search("name_term", ["name-term:doc_42"], "name = 'doc_42.txt'")
 _search("size_cmp", ["size:>2k", "size:<1m"], "size > 2048 AND size < 1048576")
 _search("mtime_age", ["mtime:<1y", "mtime:>4w"], f"({NOW} - mtime_s) < 31536000 AND ({NOW} - mtime_s) > 2419200")
-_search("bool_kleene", ["(", "doc_1", "OR", "size:>5k", ")", "NOT", "path:/fr/", "text:the"], f"(contains(name, 'doc_1') OR size > 5120) AND NOT contains(path, '/fr/') AND contains({LINE_TEXT}, ' the ')")
-_search("text_term", ["text:with"], f"contains({LINE_TEXT}, ' with ')")
+_search("bool_kleene", ["(", "doc_1", "OR", "size:>5k", ")", "NOT", "path:/fr/", "text:the"], f"(contains(name, 'doc_1') OR size > 5120) AND NOT contains(path, '/fr/') AND {_term('the')}")
+_search("text_term", ["text:with"], f"{_term('with')}")
 _search("text_phrase", ["text:of the"], f"contains({LINE_TEXT}, ' of the ')")
-_search("text_not", ["NOT", "content:the"], f"NOT contains({LINE_TEXT}, ' the ')")
-_search("text_case", ["case:text:The"], "contains((' ' || regexp_replace(" + UNITS.format("text") + r", '[^\p{L}\p{N}]+', ' ', 'g') || ' '), ' The ')")
+_search("text_not", ["NOT", "content:the"], f"NOT {_term('the')}")
+_search("text_case", ["case:text:The"], "(contains((' ' || regexp_replace(" + UNITS.format("text") + r", '[^\p{L}\p{N}]+', ' ', 'g') || ' '), ' The ') OR contains(" + RUN_TEXT + ", ' The '))")
 _search("scope_filter", ["size:>1k"], "size > 1024 AND starts_with(path, '/corpus/src1/')", scope="/corpus/src1")
 
 
@@ -101,7 +107,7 @@ def _indexed(spark: SparkSession, sf_dir: str, args: list[str]) -> DataFrame:
     return search_plan.search(catalog.corpus_files(spark, sf_dir), docs, args, NOW, truths=truths)
 
 
-@query("search_indexed", f"WITH {FILES} {HIT} WHERE contains({LINE_TEXT}, ' with ') AND NOT regexp_matches(text, 'shing[a-z]*tion')")
+@query("search_indexed", f"WITH {FILES} {HIT} WHERE {_term('with')} AND NOT regexp_matches(text, 'shing[a-z]*tion')")
 def _search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _indexed(spark, sf_dir, ["text:with", "NOT", "grep:shing[a-z]*tion"]).withColumn("offset", F.lit(None).cast("long"))
 
@@ -501,7 +507,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_plan.search(catalog.corpus_files(spark, sf_dir), _docs(spark, sf_dir), ["text:the", "ext:txt", "size:>1k", "NOT", "name:doc_1"], NOW)
 
 
-query("flagship_search", f"WITH {FILES} {HIT} WHERE contains({LINE_TEXT}, ' the ') AND size > 1024 AND NOT contains(name, 'doc_1')")(flagship)
+query("flagship_search", f"WITH {FILES} {HIT} WHERE {_term('the')} AND size > 1024 AND NOT contains(name, 'doc_1')")(flagship)
 
 
 def queries() -> dict[str, Query]:

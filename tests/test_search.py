@@ -32,7 +32,9 @@ def ask(catalog, *args, **options):
         (["mtime:<1h", "type:f"], ["/r/a/main.rs"]),
         (["mtime:>1d"], ["/r/a/.rs"]),
         (["text:request handler"], ["/r/a/main.rs", "/r/b/İx_Kelvin.txt"]),
-        (["text:httprequest"], ["/r/a/main.rs"]),
+        (["text:HttpRequest"], ["/r/a/main.rs"]),
+        (["text:parsehttprequest"], ["/r/a/main.rs"]),
+        (["text:httprequest"], []),
         (["text:http"], ["/r/a/main.rs"]),
         (["text:foo_bar"], ["/r/b/İx_Kelvin.txt"]),
         (["case:text:request"], ["/r/a/main.rs"]),
