@@ -5,7 +5,7 @@ lower-cased. A k-mer of K tokens is a closed syncmer when the smallest of its s-
 (S tokens) is its first or last one. Whether a k-mer is chosen depends on nothing
 outside it, so equal passages give equal anchors wherever they stand. The fingerprint
 keeps the SKETCH smallest hashes of a document's syncmers; two fingerprints' likeness
-estimates the Jaccard similarity of their syncmer sets (exactly for small sets).
+estimates the Jaccard similarity of their syncmer sets (exactly for small sets). Positions play no part in it; anchors() has them.
 
 Edge cases: null text counts as empty. Texts of fewer than SHORT tokens are
 fingerprinted by all their s-mers as well; one token gives its hash; a text without tokens but not empty gives a hash of itself; the empty text
