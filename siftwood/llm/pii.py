@@ -2,8 +2,9 @@
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers.
 They seed a bootstrap: every identifier-like token (a word with an @ or at least
-four digits, six characters or more) is a mention of an instance (the token) in a
-pattern (the one or two words before it). Patterns and instances form a graph;
+four digits) is a mention of an instance (the token) in up to three patterns: the
+word before it, the two words before it, the words on both sides. Another mention
+among these words stands as #; a pattern has a word at least. Patterns and instances form a graph;
 in each round a pattern's confidence is the share of its different instances that
 are trusted, and an instance's score the noisy-or of its trusted patterns. Mentions
 in trusted patterns that no base span covers are new spans of kind ``context``.
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwood.llm.common import checkpoint, text_or_empty
-from siftwood.llm.spans import apart, joined, masked, matches, tagged
+from siftwood.llm.spans import apart, joined, let, masked, matches, matches_between, overlapping, tagged
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -66,20 +67,32 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {kind: tagged(kind, spans) for kind, spans in found.items()}
 
 
+def _around(piece: Column) -> Column:
+    """The first word and the last two words of the text between two mentions."""
+    words = F.trim(F.regexp_replace(F.lower(piece), r"[^\p{L}\p{N}]+", " "))
+    last = F.substring_index(words, " ", -1)
+    before = F.substring_index(F.substring_index(words, " ", -2), " ", 1)
+    several = words.contains(" ")
+    return F.struct(F.substring_index(words, " ", 1).alias("first"), F.when(several, before).otherwise("").alias("before"), last.alias("last"))
+
+
 def _mentions(text: Column) -> Column:
-    """Identifier-like tokens with the words before them, outer punctuation cut off."""
-    outer = r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$"
+    """Identifier-like tokens, outer punctuation cut off, with their patterns."""
+    found = matches_between(text, MENTION, _around, "struct<first:string,before:string,last:string>")
 
-    def trim(x: Column) -> Column:
+    def trim(x: Column, k: Column, between: Column) -> Column:
         lead = F.length(F.regexp_extract(x["text"], r"^[^\p{L}\p{N}+]*+", 0))
-        core = F.regexp_replace(x["text"], outer, "")
-        words = F.filter(F.split(F.regexp_replace(F.lower(x["left"]), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-        two, one = F.concat_ws(" ", F.slice(words, -2, 2)), F.concat_ws(" ", F.slice(words, -1, 1))
-        patterns = F.when(F.size(words) > 1, F.array(two, one)).when(F.size(words) == 1, F.array(one)).otherwise(F.array().cast("array<string>"))
-        return F.struct((x["start"] + lead).alias("start"), (x["start"] + lead + F.length(core)).alias("end"), core.alias("token"), patterns.alias("patterns"))
+        core = F.regexp_replace(x["text"], r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")
+        left, right = between[k], between[k + 1]
+        none = F.lit("")
+        one = F.when(left["last"] != "", left["last"]).when(k > 0, "#").otherwise(none)
+        other = F.when(left["before"] != "", left["before"]).when((left["last"] != "") & (k > 0), "#").when(F.get(between, k - 1)["last"] != "", F.get(between, k - 1)["last"]).when(k > 1, "#").otherwise(none)
+        behind = F.when(right["first"] != "", right["first"]).when(k + 2 < F.size(between), "#").otherwise(none)
+        patterns = F.array(F.when(one != "", F.concat(one, F.lit(" _"))), F.when((one != "") & (other != ""), F.concat(other, F.lit(" "), one, F.lit(" _"))), F.when((one != "") & (behind != ""), F.concat(one, F.lit(" _ "), behind)))
+        return F.struct((x["start"] + lead).alias("start"), (x["start"] + lead + F.length(core)).alias("end"), core.alias("token"), F.filter(patterns, lambda p: p.rlike(r"[\p{L}\p{N}]")).alias("patterns"))
 
-    trimmed = F.transform(matches(text, MENTION, left=True), trim)
-    return F.filter(trimmed, lambda x: F.length(x["token"]).between(6, 64) & (x["token"].contains("@") | (F.length(_digits(x["token"])) >= 4)))
+    trimmed = let(found, lambda f: F.transform(f["spans"], lambda x, k: trim(x, k, f["between"])))
+    return F.filter(trimmed, lambda x: x["token"].contains("@") | (F.length(_digits(x["token"])) >= 4))
 
 
 def _bootstrap(mentions: DataFrame, rounds: int, confidence: float, support: int) -> DataFrame:
@@ -97,18 +110,18 @@ def _bootstrap(mentions: DataFrame, rounds: int, confidence: float, support: int
     return trusted
 
 
-def find(df: DataFrame, key: list[str], text_col: str = "text", rounds: int = 3, confidence: float = 0.8, support: int = 5) -> DataFrame:
+def find(df: DataFrame, key: list[str], text_col: str = "text", rounds: int = 3, confidence: float = 0.75, support: int = 3) -> DataFrame:
     """The key columns, base (tagged base spans by kind, then start) and context (the
     spans that the bootstrap adds, by start) of every row."""
     text = text_or_empty(F.col(text_col))
     rows = df.select(*[F.col(k) for k in key], text.alias("__text"))
     rows = rows.select(*key, *[spans.alias(f"__{kind}") for kind, spans in base_spans(F.col("__text")).items()], _mentions(F.col("__text")).alias("__mentions"))
     rows = rows.select(*key, F.concat(*[F.col(f"__{kind}") for kind in KINDS]).alias("base"), "__mentions", F.monotonically_increasing_id().alias("__row"))
+    rows = rows.select(*key, "base", F.arrays_zip(F.col("__mentions").alias("m"), overlapping(F.col("__mentions"), F.col("base")).alias("seed")).alias("__mentions"), "__row")
     # the checkpoint fixes the row numbers and saves reading the texts again
     rows = checkpoint(rows)
-    mentions = rows.filter(F.size("__mentions") > 0).select("__row", "base", F.explode("__mentions").alias("m"))
-    covered = F.exists("base", lambda b: (b["start"] < F.col("m.end")) & (b["end"] > F.col("m.start")))
-    mentions = mentions.select("__row", "m.start", "m.end", "m.token", "m.patterns", covered.alias("seed"))
+    mentions = rows.filter(F.size("__mentions") > 0).select("__row", F.explode("__mentions").alias("x"))
+    mentions = mentions.select("__row", "x.m.start", "x.m.end", "x.m.token", "x.m.patterns", "x.seed")
     trusted = _bootstrap(mentions, rounds, confidence, support)
     fresh = mentions.filter(~F.col("seed")).select("__row", "start", "end", "token", F.explode("patterns").alias("pattern"))
     fresh = fresh.join(trusted.select("pattern"), "pattern", "left_semi").select("__row", "start", "end", "token").distinct()
