@@ -1,34 +1,37 @@
 """Document fingerprints of closed syncmers over words.
 
 Tokens are runs of letters and digits (single characters in scripts without spaces),
-lower-cased. A k-mer of K tokens is a closed syncmer when the smallest of its s-mers
-(S tokens) is its first or last one. Whether a k-mer is chosen depends on nothing
-outside it, so equal passages give equal anchors wherever they stand. The fingerprint
-keeps the SKETCH smallest hashes of a document's syncmers; two fingerprints' likeness
-estimates the Jaccard similarity of their syncmer sets (exactly for small sets). Positions play no part in it; anchors() has them.
-
-Edge cases: null text counts as empty. Texts of fewer than SHORT tokens are
-fingerprinted by all their s-mers as well; one token gives its hash; a text without tokens but not empty gives a hash of itself; the empty text
-has the empty fingerprint. Two empty fingerprints have likeness 1, an empty and
-another one 0. Equal texts have equal fingerprints.
+lower-cased, with K - 1 marks for nothing on either side of the text. A k-mer of K tokens
+is a closed syncmer when the smallest of its s-mers (S tokens) is its first or last one.
+Whether a k-mer is chosen depends on nothing outside it, so equal passages give equal
+anchors wherever they stand; of K - S neighbouring k-mers one at least is chosen, so
+every text with a token has an anchor. The fingerprint is the whole set of a text's
+anchor hashes, and two fingerprints' likeness the exact Jaccard similarity of their sets.
+anchors() gives the anchors with their positions.
+
+Edge cases: null text counts as empty. A text without tokens but not empty gives a hash
+of itself; the empty text has the empty fingerprint. Two empty fingerprints have likeness
+1, an empty and another one 0. Equal texts have equal fingerprints. Hashes have 32 bits.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwood.llm.common import text_or_empty
+from siftwood.llm.spans import let
 
-K, S, SKETCH = 5, 2, 64
-#: Texts of fewer tokens have too few syncmers to compare; all their s-mers join them.
-SHORT = 24
+K, S = 5, 2
 TOKEN = r"[A-Za-z0-9\u0080-⹿]+|[⺀-￿]|[^\x00-\x7F]"
+#: The hash of the marks around a text.
+EDGE = 0x5EED
 #: Rows aimed at in one block of neighbours, and the bounds on the number of blocks.
-BLOCK_ROWS, SEGMENTS, SUB_BLOCKS = 2048, 64, 1024
+BLOCK_ROWS, SEGMENTS, SUB_BLOCKS = 512, 256, 256
 FIRST_ID = -(2**63)
 
 
@@ -36,37 +39,46 @@ def _shifted(values: Column, by: int) -> Column:
     return F.slice(values, by + 1, F.greatest(F.size(values) - by, F.lit(0)))
 
 
-def with_sketch(df: DataFrame, text_col: str, out: str) -> DataFrame:
-    """``df`` with the column ``out``: the sorted smallest syncmer hashes of a text
-    that is not null. Each step is a projection of its own, so that no array is
-    computed more than once for a row."""
-    keep = df.columns
-    h = F.transform(F.regexp_extract_all(F.lower(text_col), F.lit(TOKEN), F.lit(0)), lambda t: F.hash(t))
-    df = df.select(*keep, h.alias("__h"))
+def _tokens(text: Column) -> Column:
+    """Hashes of a text's tokens between the marks; none for a text without tokens."""
+    h = F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda t: F.hash(t))
+    marks = F.array(*[F.lit(EDGE)] * (K - 1))
+    return let(h, lambda x: F.when(F.size(x) > 0, F.concat(marks, x, marks)).otherwise(x))
+
+
+def _windows(df: DataFrame, keep: list[str], hashes: Column) -> DataFrame:
+    """keep and __z: the four s-mers (a, b, c, d) of every k-mer in order. Each step is a
+    projection of its own, so that no array is computed more than once for a row."""
+    df = df.select(*keep, hashes.alias("__h"))
     smers = F.zip_with("__h", _shifted(F.col("__h"), 1), lambda a, b: F.when(b.isNotNull(), F.hash(a, b)))
-    df = df.select(*keep, "__h", F.slice(smers, 1, F.greatest(F.size("__h") - 1, F.lit(0))).alias("__m"))
+    df = df.select(*keep, F.slice(smers, 1, F.greatest(F.size("__h") - 1, F.lit(0))).alias("__m"))
     m = F.col("__m")
-    windows = F.arrays_zip(m.alias("a"), _shifted(m, 1).alias("b"), _shifted(m, 2).alias("c"), _shifted(m, 3).alias("d"))
-    df = df.select(*keep, "__h", "__m", windows.alias("__z"))
+    return df.select(*keep, F.arrays_zip(m.alias("a"), _shifted(m, 1).alias("b"), _shifted(m, 2).alias("c"), _shifted(m, 3).alias("d")).alias("__z"))
+
+
+def _is_closed(z: Column) -> Column:
     # incomplete windows at the end have a null d, which no comparison keeps
-    closed = F.filter("__z", lambda z: z["d"].isNotNull() & (F.least(z["a"], z["d"]) <= F.least(z["b"], z["c"])))
-    kmers = F.transform(closed, lambda z: F.hash(z["a"], z["c"], z["d"]))
-    few = F.when(F.size("__h") > 0, F.array(F.hash("__h"))).when(F.length(text_col) > 0, F.array(F.hash(F.col(text_col)))).otherwise(F.array().cast("array<int>"))
-    df = df.select(*keep, "__h", "__m", kmers.alias("__c"))
-    short = F.when(F.size("__h") >= SHORT, F.col("__c")).when(F.size("__h") >= S, F.concat("__c", "__m")).otherwise(few)
-    df = df.select(*keep, short.alias("__k"))
-    return df.select(*keep, F.slice(F.sort_array(F.array_distinct("__k")), 1, SKETCH).alias(out))
+    return z["d"].isNotNull() & (F.least(z["a"], z["d"]) <= F.least(z["b"], z["c"]))
 
 
-def printed(sketch: Column) -> Column:
-    """The sketch as text: eight hexadecimal digits for each hash."""
-    return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
+def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """``df`` with the column ``out``: the sorted syncmer hashes of a text that is not null."""
+    keep = df.columns
+    df = _windows(df, keep, _tokens(F.col(text_col)))
+    few = F.when(F.length(text_col) > 0, F.array(F.hash(F.col(text_col)))).otherwise(F.array().cast("array<int>"))
+    kmers = F.transform(F.filter("__z", _is_closed), lambda z: F.hash(z["a"], z["c"], z["d"]))
+    return df.select(*keep, F.when(F.size("__z") > 0, F.sort_array(F.array_distinct(kmers))).otherwise(few).alias(out))
+
+
+def printed(fingerprint: Column) -> Column:
+    """The fingerprint as text: eight hexadecimal digits for each hash."""
+    return F.lower(F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two sketches."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.size(union))
+    """Jaccard similarity of two fingerprints."""
+    common = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
 def _blocks(ids: DataFrame) -> tuple[Column, int]:
@@ -74,7 +86,7 @@ def _blocks(ids: DataFrame) -> tuple[Column, int]:
     SEGMENTS x SUB_BLOCKS, of about BLOCK_ROWS rows where ids are spread evenly
     between the SEGMENTS quantiles."""
     marks = [k / SEGMENTS for k in range(SEGMENTS)]
-    found = ids.agg(F.count("*").alias("n"), F.percentile_approx("__id", marks, 1000).alias("q"), F.max("__id").alias("top")).first()
+    found = ids.agg(F.count("*").alias("n"), F.percentile_approx("__id", marks, 20_000).alias("q"), F.max("__id").alias("top")).first()
     edges = sorted({*(found.q or [0])})
     sub = min(SUB_BLOCKS, max(1, math.ceil(found.n / (SEGMENTS * BLOCK_ROWS))))
     number = F.lit(0)
@@ -86,9 +98,10 @@ def _blocks(ids: DataFrame) -> tuple[Column, int]:
     return number, len(edges) * sub
 
 
-def with_next(df: DataFrame, id_col: str, columns: list[str], order: list[str]) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, columns: list[str], order: list[str], then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``df`` with next_<column>: the columns of the next row in descending id (ties in
-    ascending ``order``; null ids last), the first row's after the last row.
+    ascending ``order``; null ids last), the first row's after the last row. ``then`` adds
+    columns behind the exchange of the rows, which have to travel no more.
 
     Neighbours are found inside blocks of ids, so no task sorts the whole table. The
     rows of a block's highest id are sent to the block above as well, as guests behind
@@ -104,36 +117,38 @@ def with_next(df: DataFrame, id_col: str, columns: list[str], order: list[str])
     own = F.array(F.struct(F.col("__block").alias("block"), F.lit(False).alias("guest")))
     sent = rows.withColumn("__block", number).join(tops, "__id", "left")
     sent = sent.select(*df.columns, "__id", F.explode(F.when(F.col("__above").isNull(), own).otherwise(places)).alias("__place"))
-    w = W.partitionBy("__place.block").orderBy("__place.guest", F.desc("__id"), *order)
-    return sent.select(*df.columns, "__place", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).filter("not __place.guest").drop("__place")
+    sent = sent.select(*df.columns, "__id", F.col("__place.block").alias("__block"), F.col("__place.guest").alias("__guest")).repartition("__block")
+    if then is not None:
+        sent = then(sent)
+    w = W.partitionBy("__block").orderBy("__guest", F.desc("__id"), *order)
+    return sent.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).filter("not __guest").drop("__id", "__block", "__guest")
 
 
 def compare_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text (the last half replaced by
     the start of the next document's), with their likeness; see op6 in the README."""
-    rows = with_sketch(df.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")), "text", "sketch")
-    rows = with_next(rows, "doc_id", ["text", "sketch"], ["text"])
+    rows = df.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", F.col("next_sketch").alias("following"))
-    rows = with_sketch(rows, "edited", "edited_sketch")
+    rows = with_next(rows, "doc_id", ["text", "own"], ["text"], lambda sent: with_fingerprint(sent, "text", "own"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", F.col("next_own").alias("following"))
+    rows = with_fingerprint(rows, "edited", "changed")
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        printed(F.col("sketch")).alias("fingerprint"),
-        printed(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("following")).alias("near_next"),
+        printed(F.col("own")).alias("fingerprint"),
+        printed(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        likeness(F.col("own"), F.col("following")).alias("near_next"),
     )
 
 
 def anchors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, position (of the first token, from 0) and hash of every closed syncmer:
-    the anchors for positional matching."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.transform(F.regexp_extract_all(F.lower(text_or_empty(F.col(text_col))), F.lit(TOKEN), F.lit(0)), lambda t: F.hash(t)).alias("h"))
-    rows = rows.select("doc_id", F.slice(F.zip_with("h", _shifted(F.col("h"), 1), lambda a, b: F.when(b.isNotNull(), F.hash(a, b))), 1, F.greatest(F.size("h") - 1, F.lit(0))).alias("m"))
-    m = F.col("m")
-    rows = rows.select("doc_id", F.posexplode(F.arrays_zip(m.alias("a"), _shifted(m, 1).alias("b"), _shifted(m, 2).alias("c"), _shifted(m, 3).alias("d"))).alias("position", "z"))
-    return rows.filter("z.d is not null and least(z.a, z.d) <= least(z.b, z.c)").select("doc_id", "position", F.hash("z.a", "z.c", "z.d").alias("hash"))
+    """doc_id, position (of the first token, from 0; before the text it is negative) and
+    hash of every closed syncmer: the anchors for positional matching."""
+    rows = _windows(df.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")), ["doc_id"], _tokens(F.col("text")))
+    rows = rows.select("doc_id", F.posexplode("__z").alias("position", "z")).filter(_is_closed(F.col("z")))
+    return rows.select("doc_id", (F.col("position") - (K - 1)).alias("position"), F.hash("z.a", "z.c", "z.d").alias("hash"))
+
