@@ -2,35 +2,42 @@
 
 Texts become sequences of template tokens: words in lower case, with numbers, units
 behind numbers and names (capitalised inside a sentence) replaced by typed
-placeholders. Windows of template tokens of the benchmark are hashed; the windows of
-every document probe them. A hit keeps only if its slots are consistent: over all hits
-of an item on one alignment, every slot value of the item stands for one value of the
-document, so a question with other numbers or names is caught and a chance agreement of
-templates is not. Windows of fewer than LITERALS words that are no slots say too little as
-templates; they match by their very words instead. A document is contaminated when hits
-cover ``coverage`` of an item's windows, or of its windows with enough words.
-
-The benchmark's windows travel to the executors only in shards of a bounded number of
-items; a larger benchmark takes as many passes as it has shards.
-
-Edge cases: null text counts as empty and is clean, null items are left out. Items of
-fewer tokens than a window are matched as a whole, items without a token never. Repeated rows and items are judged alike.
+placeholders. Windows of WINDOW template tokens are hashed, and the windows of the
+documents are hash-joined with the benchmark's. The hits of a text and an item are then
+walked alignment by alignment: a hit is accepted if its slots are consistent, that is if
+on this alignment every slot value of the item stands for one value of the document, so
+a question with other numbers or names is caught and a chance agreement of templates is
+not. Evidence are the item's positions in an alignment's accepted windows that hold a word or a
+slot with the item's own value. A text is contaminated by an item if accepted windows are
+
+* ``coverage`` of the item's windows, with evidence of EVIDENCE positions, or
+* WHOLE of them, with evidence of FEW positions (number-heavy and short questions), or
+* a run of RUN tokens on one alignment, with evidence of EVIDENCE positions.
+
+Nothing of the documents is collected. The driver holds a bit table of the benchmark's
+windows (FILTER_BITS at most), which keeps other windows out of the exchange; the join
+decides. Equal texts are judged once. A window that m items share costs m rows for each
+different text that has it.
+
+Edge cases: null text counts as empty and is clean, items with null text are left out;
+item ids may be null and of any type. Items of fewer tokens than a window are one window,
+items without a token match nothing. Repeated rows and items are judged alike. Text in
+capitals throughout shows no names.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwood.llm.words import blocks, hash_runs, hash_words, text_bytes
+from siftwood.llm.common import checkpoint, shuffle_partitions, text_or_empty
+from siftwood.llm.words import blocks, hash_runs, hash_words, mix, text_bytes
 
-WINDOW, LITERALS, SHARD_ITEMS = 8, 5, 50_000
-#: Windows with enough words that an item needs to be judged by them alone.
-RICH_WINDOWS = 4
+WINDOW = 8
+EVIDENCE, WHOLE, FEW, RUN = 8, 0.8, 4, 50
+FILTER_BITS = 1 << 27
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0x11F0A1D3C5B79E21, 0x22E1B2C4D6A88F33, 0x33D2C3B5E7997045))
 UNITS = "kg g mg lb lbs oz t km m cm mm mi ft in yd l ml gal h hr hrs hour hours min mins minute minutes s sec second seconds day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent pct mph kmh w kw v a hz khz mhz ghz kb mb gb tb c f k".split()
 
@@ -103,138 +110,187 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return template, value, first
 
 
-@dataclass
-class Shard:
-    """Windows of some items: by length and whether they match by their very words,
-    sorted hashes with their item and position; rich and all count each item's windows."""
-
-    items: list
-    tokens: list[tuple[np.ndarray, np.ndarray]]
-    rich: list[int]
-    all: list[int]
-    windows: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]]
-
-
 def _is_slot(template: np.ndarray) -> np.ndarray:
     return (template == NUMBER) | (template == UNIT) | (template == NAME)
 
 
-def _literal_runs(template: np.ndarray, length: int) -> np.ndarray:
-    """For each window whether it has enough words that are no slots."""
-    n = len(template) - length + 1
-    sums = np.append(0, np.cumsum(~_is_slot(template)))
-    return sums[length : length + max(n, 0)] - sums[: max(n, 0)] >= min(LITERALS, length)
-
-
-def build_shard(items: list[tuple]) -> Shard:
-    """From (item id, text) rows."""
-    data, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
-    template, value, first = templates(data, offsets)
-    tokens, rich, every, found = [], [], [], {}
-    for k in range(len(items)):
-        t, v = template[first[k] : first[k + 1]], value[first[k] : first[k + 1]]
-        tokens.append((t, v))
-        length = min(WINDOW, len(t))
-        enough = _literal_runs(t, length) if length else np.zeros(0, bool)
-        rich.append(int(enough.sum()))
-        every.append(len(enough))
-        for exact, own in ((False, t), (True, v)):
-            at = np.flatnonzero(enough != exact)
-            if len(at):
-                found.setdefault((length, exact), []).append((hash_runs(own, length)[at], np.full(len(at), k), at))
-    windows = {}
-    for key, parts in found.items():
-        h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(h, kind="stable")
-        windows[key] = h[order], item[order], at[order]
-    return Shard([i for i, _ in items], tokens, rich, every, windows)
-
-
-def check_document(shard: Shard, template: np.ndarray, value: np.ndarray, hits: list[tuple[int, int, int, int]]) -> tuple[int, int | None, float, int]:
-    """(items hit, the best item's index, its coverage, its changed slots) from hits
-    (item, length, position in the item, position in the document)."""
-    accepted: dict[int, set[int]] = {}
-    changed: dict[int, set] = {}
-    maps: dict[tuple[int, int], dict] = {}
-    for item, length, at, pos in sorted(hits):
-        slots, own = maps.setdefault((item, pos - at), {}), {}
-        t, v = shard.tokens[item]
-        fits = True
-        for j in np.flatnonzero(_is_slot(t[at : at + length])).tolist():
-            key, new = (int(t[at + j]), int(v[at + j])), int(value[pos + j])
-            if slots.get(key, own.get(key, new)) != new:
-                fits = False
-                break
-            own[key] = new
-        if fits:
-            slots.update(own)
-            accepted.setdefault(item, set()).add(at)
-            changed.setdefault(item, set()).update(k for k, n in own.items() if k[1] != n)
-
-    def share(i: int) -> float:
-        words = sum(at in accepted[i] for at in np.flatnonzero(_literal_runs(shard.tokens[i][0], min(WINDOW, len(shard.tokens[i][0])))).tolist())
-        return max(len(accepted[i]) / shard.all[i], words / shard.rich[i] if shard.rich[i] >= RICH_WINDOWS else 0.0)
-
-    best = max(accepted, key=lambda i: (share(i), -i), default=None)
-    if best is None:
-        return 0, None, 0.0, 0
-    return len(accepted), best, share(best), len(changed[best])
-
-
-def _probe(shard: Shard, keep: list[str]):
-    filters = {}
-    for key, (h, _, _) in shard.windows.items():
-        table = np.zeros(1 << 20, bool)
-        table[(h >> np.uint64(44)).astype(np.int64)] = True
-        filters[key] = table
-
+def _lists(index: np.ndarray, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.ListArray:
+    """For each window [begin, end) the values whose (sorted) index lies in it."""
+    low, high = np.searchsorted(index, begin), np.searchsorted(index, end)
+    size = high - low
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(values[at]))
+
+
+def _window_hashes(template: np.ndarray, length: int) -> np.ndarray:
+    return mix(hash_runs(template, length) + np.uint64(length)).view(np.int64)
+
+
+def _item_windows(batches):
+    """item, n (its windows), tokens, length, at, h, slots (offsets in the window), own
+    (the item's slot values) of every window of an item (item, text)."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column("text"))
+        for i, j in blocks(offsets):
+            template, value, first = templates(data, offsets[i : j + 1])
+            for k in range(i, j):
+                t, v = (x[first[k - i] : first[k - i + 1]] for x in (template, value))
+                if not len(t):
+                    continue
+                length = min(WINDOW, len(t))
+                n, slot = len(t) - length + 1, np.flatnonzero(_is_slot(t))
+                at = np.arange(n)
+                where = _lists(slot, slot.astype(np.int32), at, at + length)
+                shifted = np.asarray(where.values) - np.repeat(at, np.diff(np.asarray(where.offsets))).astype(np.int32)
+                same = lambda x, kind: pa.array(np.full(n, x), kind)  # noqa: B023, E731
+                columns = [same(batch.column("item")[k].as_py(), pa.int64()), same(n, pa.int32()), same(len(t), pa.int32()), same(length, pa.int32()), pa.array(at, pa.int32()), pa.array(_window_hashes(t, length)), pa.ListArray.from_arrays(where.offsets, pa.array(shifted, pa.int32())), _lists(slot, v[slot].view(np.int64), at, at + length)]
+                yield pa.RecordBatch.from_arrays(columns, names=["item", "n", "tokens", "length", "at", "h", "slots", "own"])
+
+
+def _bits(windows: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A bit table of the windows' hashes and how many of their high bits address it."""
+    address = 6
+    while (1 << address) < min(FILTER_BITS, 256 * max(n, 1)):
+        address += 1
+    word = F.shiftrightunsigned("h", 64 - address)
+    table = np.zeros(1 << (address - 6), np.uint64)
+    # at most FILTER_BITS / 64 rows
+    for r in windows.groupBy(F.shiftrightunsigned(word, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - address}) & 63 as int))")).alias("bits")).toLocalIterator():
+        table[r["at"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+    return table, address
+
+
+def _document_windows(sent, address: int, lengths: list[int]):
     def run(batches):
+        """key, pos, h and values (of the slots) of the windows that the bit table has; a
+        task takes a text once."""
+        table, seen = sent.value, set()
         for batch in batches:
-            data, offsets = text_bytes(batch.column("__text"))
-            n_items, item_id, best, slots = (batch.column(c).to_pylist() for c in ("n_items", "item_id", "coverage", "n_slots"))
+            data, offsets = text_bytes(batch.column("text"))
+            keys = batch.column("key").to_pylist()
             for i, j in blocks(offsets):
+                fresh = np.zeros(j - i, bool)
+                for k in range(i, j):
+                    fresh[k - i] = keys[k] not in seen
+                    seen.add(keys[k])
                 template, value, first = templates(data, offsets[i : j + 1])
-                hits: dict[int, list] = {}
-                for (length, exact), (h, item, at) in shard.windows.items():
-                    own = hash_runs(value if exact else template, length)
-                    pos = np.flatnonzero(filters[length, exact][(own >> np.uint64(44)).astype(np.int64)])
+                slot = np.flatnonzero(_is_slot(template))
+                for length in lengths:
+                    h = _window_hashes(template, length)
+                    place = h.view(np.uint64) >> np.uint64(64 - address)
+                    pos = np.flatnonzero((table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
                     row = np.searchsorted(first, pos, side="right") - 1
-                    pos = pos[pos + length <= first[row + 1]]
-                    low, high = np.searchsorted(h, own[pos], "left"), np.searchsorted(h, own[pos], "right")
-                    for p, a, b in zip(pos[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
-                        r = int(np.searchsorted(first, p, side="right")) - 1
-                        hits.setdefault(r, []).extend((int(item[x]), length, int(at[x]), p - int(first[r])) for x in range(a, b))
-                for r, found in hits.items():
-                    t, v = template[first[r] : first[r + 1]], value[first[r] : first[r + 1]]
-                    n, k, share, new = check_document(shard, t, v, found)
-                    n_items[i + r] += n
-                    if k is not None and share > best[i + r]:
-                        item_id[i + r], best[i + r], slots[i + r] = shard.items[k], share, new
-            out = [pa.array(n_items, pa.int64()), pa.array(item_id, pa.int64()), pa.array(best, pa.float64()), pa.array(slots, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keep, "__text"]), *out], names=[*keep, "__text", "n_items", "item_id", "coverage", "n_slots"])
+                    own = (pos + length <= first[row + 1]) & fresh[np.minimum(row, j - i - 1)]
+                    pos, row = pos[own], row[own]
+                    columns = [pa.array([keys[i + r] for r in row.tolist()], pa.binary()), pa.array(pos - first[row], pa.int32()), pa.array(h[pos]), _lists(slot, value[slot].view(np.int64), pos, pos + length)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "pos", "h", "values"])
 
     return run
 
 
+class _Pair:
+    """The hits of one text and one item, in the order of alignment and position."""
+
+    def __init__(self, n: int, tokens: int, length: int) -> None:
+        self.n, self.tokens, self.length = n, tokens, length
+        self.accepted: set[int] = set()
+        self.known = 0
+        #: (accepted windows, slot values that differ) of the alignment with the most of them.
+        self.best = (0, 0)
+        self.longest = 0
+        self.shift: int | None = None
+
+    def add(self, shift: int, at: int, slots: list[int], own: list[int], values: list[int]) -> None:
+        if shift != self.shift:
+            self.shift, self.map, self.last, self.run, self.count = shift, {}, None, 0, 0
+            self.evidence: set[int] = set()
+        if at == self.last:
+            return
+        new = dict(zip(own, values, strict=True))
+        if any(self.map.get(a, new[a]) != b or new[a] != b for a, b in zip(own, values, strict=True)):
+            return
+        self.map |= new
+        self.run = self.run + 1 if self.last == at - 1 else 1
+        self.last, self.longest = at, max(self.longest, self.run)
+        self.accepted.add(at)
+        other = {k for k, a, b in zip(slots, own, values, strict=True) if a != b}
+        self.count += 1
+        changed = sum(a != b for a, b in self.map.items())
+        self.best = max(self.best, (self.count, changed), key=lambda x: (x[0], -x[1]))
+        self.evidence.update(at + k for k in range(self.length) if k not in other)
+        self.known = max(self.known, len(self.evidence))
+
+    def verdict(self, least: float) -> tuple[bool, float, int]:
+        share, known = len(self.accepted) / self.n, self.known
+        run = self.longest + self.length - 1 >= RUN and self.longest > 0
+        return (known >= EVIDENCE and (share >= least or run)) or (share >= WHOLE and known >= min(FEW, self.tokens)), share, self.best[1]
+
+
+def _check(least: float):
+    def run(batches):
+        """Rows arrive sorted by key, item, shift and at; a pair may go on in the next batch."""
+        now, pair = None, None
+        for batch in batches:
+            out = []
+            for key, item, shift, at, n, tokens, length, slots, own, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, item) != now:
+                    if pair is not None and pair.accepted:
+                        out.append((*now, *pair.verdict(least)))
+                    now, pair = (key, item), _Pair(n, tokens, length)
+                pair.add(shift, at, slots, own, values)
+            yield _verdicts(out)
+        if pair is not None and pair.accepted:
+            yield _verdicts([(*now, *pair.verdict(least))])
+
+    return run
+
+
+def _verdicts(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.int64(), pa.bool_(), pa.float64(), pa.int64())
+    columns = zip(*rows, strict=True) if rows else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "item", "flag", "coverage", "n_slots"])
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def verdicts(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, coverage: float) -> DataFrame:
+    """key, contaminated, n_items, item_id, coverage, n_slots of the texts (key, text) that
+    have an accepted window of an item."""
+    text = F.col(item_text_col).cast("string")
+    items = benchmark.filter(text.isNotNull()).select(F.xxhash64(F.col(item_col).cast("string"), text).alias("item"), F.col(item_col).alias("item_id"), text.alias("text")).dropDuplicates(["item"])
+    windows = checkpoint(items.select("item", "text").mapInArrow(_item_windows, "item long, n int, tokens int, length int, at int, h long, slots array<int>, own array<long>"))
+    sizes = windows.groupBy("length").count().collect()
+    table, address = _bits(windows, sum(r["count"] for r in sizes))
+    sent = texts.sparkSession.sparkContext.broadcast(table)
+    found = texts.mapInArrow(_document_windows(sent, address, sorted(r["length"] for r in sizes)), "key binary, pos int, h long, values array<long>")
+    hits = found.join(windows, "h").select("key", "item", (F.col("pos") - F.col("at")).alias("shift"), "at", "n", "tokens", "length", "slots", "own", "values")
+    hits = hits.repartition(shuffle_partitions(texts.sparkSession), "key", "item").sortWithinPartitions("key", "item", "shift", "at")
+    pairs = hits.mapInArrow(_check(coverage), "key binary, item long, flag boolean, coverage double, n_slots long").join(items.select("item", "item_id"), "item")
+    first = F.min(F.struct(~F.col("flag"), -F.col("coverage"), F.col("item_id"), F.col("n_slots").alias("n_slots"), F.col("coverage").alias("share"), F.col("flag").alias("flag"))).alias("x")
+    return pairs.groupBy("key").agg(first, F.count("*").alias("n_items")).select("key", F.col("x.flag").alias("contaminated"), "n_items", "x.item_id", F.col("x.share").alias("coverage"), "x.n_slots")
+
+
 def find(df: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = 0.3) -> DataFrame:
     """The kept columns, contaminated, n_items (hit at all), item_id and coverage of the
-    item covered best, and n_slots (slot values that differ from that item's)."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).filter("i is not null and t is not null")
-    n = items.count()
-    shards = max(1, -(-n // SHARD_ITEMS))
+    item covered best, and n_slots (its slot values that differ on the longest alignment)."""
     # names of the results must not clash with kept columns
     inner = [f"__k{k}" for k in range(len(keep))]
-    rows = df.select(*[F.col(c).alias(k) for c, k in zip(keep, inner, strict=True)], F.col(text_col).cast("string").alias("__text"), F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_slots"))
-    schema = rows.schema
-    for s in range(shards):
-        own = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == s).orderBy("i", "t")
-        rows = rows.mapInArrow(_probe(build_shard([(r.i, r.t) for r in own.collect()]), inner), schema)
-    return rows.select(*[F.col(k).alias(c) for c, k in zip(keep, inner, strict=True)], (F.col("coverage") >= coverage).alias("contaminated"), "n_items", "item_id", "coverage", "n_slots")
+    text = text_or_empty(F.col(text_col))
+    found = verdicts(df.select(text_key(text).alias("key"), text.alias("text")), benchmark, item_col, item_text_col, coverage)
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(keep, inner, strict=True)], text_key(text).alias("key")).join(found, "key", "left")
+    zero = lambda c, x: F.coalesce(c, F.lit(x)).alias(c)
+    return rows.select(*[F.col(k).alias(c) for c, k in zip(keep, inner, strict=True)], zero("contaminated", False), zero("n_items", 0), "item_id", zero("coverage", 0.0), zero("n_slots", 0))
 
 
-def remove(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that are not contaminated, with their columns."""
+def remove(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = 0.3) -> DataFrame:
+    """The rows of ``df`` that are not contaminated, with their columns. Only the keys of
+    contaminated texts are joined: the planner broadcasts them where they are few."""
     # under names of their own, columns of any name can't clash with the findings
     names = [f"__c{k}" for k in range(len(df.columns))]
-    found = find(df.toDF(*names), benchmark, names, names[df.columns.index(text_col)], **options)
-    return found.filter(~F.col("contaminated")).select(*names).toDF(*df.columns)
+    text = text_or_empty(F.col(names[df.columns.index(text_col)]))
+    rows = df.toDF(*names).withColumn("__key", text_key(text))
+    found = verdicts(rows.select(F.col("__key").alias("key"), text.alias("text")), benchmark, item_col, item_text_col, coverage)
+    gone = checkpoint(found.filter("contaminated").select(F.col("key").alias("__key")))
+    return rows.join(gone, "__key", "left_anti").select(*names).toDF(*df.columns)

@@ -342,26 +342,65 @@ def test_decontamination(spark, monkeypatch):
     assert {i for i, r in got.items() if r.contaminated} == {1, 2, 7}
     assert (got[1].item_id, got[2].item_id) == (1, 2) and got[1].n_slots > 3 and got[2].n_slots == 0
     assert sorted(r.doc_id for r in decontaminate.remove(df, b).collect()) == [3, 4, 5, 6]
-    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 1)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 64)
     assert {r.doc_id: tuple(r) for r in decontaminate.find(df, b, ["doc_id"]).collect()} == {i: tuple(r) for i, r in got.items()}
     assert decontaminate.find(df, b.limit(0), ["doc_id"]).filter("contaminated").count() == 0
 
 
-def test_slot_consistency():
+def test_slot_consistency(spark):
     item = "If Alice has 12 apples and Bob has 7 apples then Alice and Bob have 19 apples"
-    shard = decontaminate.build_shard([(1, item)])
-
-    def coverage(text):
-        from siftwood.llm.words import hash_runs, text_bytes
-        import pyarrow as pa
-
-        t, v, first = decontaminate.templates(*text_bytes(pa.array([text])))
-        hits = []
-        for (length, exact), (h, which, at) in shard.windows.items():
-            for p, x in enumerate(hash_runs(v if exact else t, length)):
-                hits += [(int(which[k]), length, int(at[k]), p) for k in range(len(h)) if h[k] == x]
-        return decontaminate.check_document(shard, t, v, hits)[2]
-
-    same = coverage("If Carol has 3 apples and Dave has 4 apples then Carol and Dave have 7 apples")
-    mixed = coverage("If Carol has 3 apples and Dave has 4 apples then Erin and Frank have 7 apples")
-    assert same == 1.0 and mixed < same
+    texts = ["If Carol has 3 apples and Dave has 4 apples then Carol and Dave have 7 apples", "If Carol has 3 apples and Dave has 4 apples then Erin and Frank have 7 apples"]
+    df, b = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([("q1", item), (None, "one"), ("q1", item)], "item_id string, text string")
+    same, mixed = (r for r in decontaminate.find(df, b, ["doc_id"]).orderBy("doc_id").collect())
+    assert same.coverage == 1.0 and same.contaminated and same.item_id == "q1" and mixed.coverage < 1.0
+
+
+def test_number_heavy_questions_and_long_items(spark):
+    long = prose(21, 300, [f"word{c}{d}" for c in "abcdefghij" for d in "klmnop"]).translate(str.maketrans("", "", "0123456789"))
+    bench = [(1, "Tom paid 3 dollars for 2 pens and Ann paid 5 dollars for 4 pens."), (2, "12 kg 5 m 7 s 9 km 4 h 8 l 3 g"), (3, long), (None, "a question whose item has no number of its own but many words")]
+    texts = [
+        "So. Tom paid 8 dollars for 6 pens and Ann paid 9 dollars for 7 pens.",
+        "13 kg 6 m 8 s 10 km 5 h 9 l 4 g",
+        "13 lb 6 ft 8 days 10 mi 5 usd 9 v 4 hz",
+        "start " + " ".join(long.split()[100:160]) + " end",
+        "start " + " ".join(long.split()[100:120]) + " end",
+        "Look: a question whose item has no number of its own but many words",
+        "12 5 7 9 4 8 3",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0]), (0, texts[0])], "doc_id long, text string")
+    got = decontaminate.find(df, spark.createDataFrame(bench, "item_id long, text string"), ["doc_id"]).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got if r.contaminated and r.doc_id is not None) == [(0, 1), (0, 1), (1, 2), (3, 3), (5, None)]
+    assert [r.item_id for r in got if r.doc_id is None] == [1] and len(got) == 9
+
+
+def test_decontamination_against_brute_force(spark):
+    """All windows of all texts against all windows of all items, by the words alone."""
+    rng = random.Random(8)
+    vocabulary = [f"w{c}{d}".translate(str.maketrans("0123456789", "abcdefghij")) for c in range(10) for d in range(10)]
+    bench = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([3, 7, 8, 20, 60])))) for i in range(25)]
+    texts = []
+    for k in range(120):
+        words = rng.choices(vocabulary, k=rng.randrange(60))
+        if k % 3:
+            item = bench[rng.randrange(25)][1].split()
+            a = rng.randrange(max(1, len(item) // 3))
+            words[5:5] = item[a : a + rng.randrange(1, 40)]
+        texts.append((k, " ".join(words)))
+    want = {}
+    for k, t in texts:
+        w = t.split()
+        for i, x in bench:
+            item = x.split()
+            size = min(decontaminate.WINDOW, len(item))
+            at = [a for a in range(len(item) - size + 1) if any(w[p : p + size] == item[a : a + size] for p in range(len(w) - size + 1))]
+            if not at:
+                continue
+            share = len(at) / (len(item) - size + 1)
+            known = max(len({a + j for a in range(len(item) - size + 1) if 0 <= a + d and w[a + d : a + d + size] == item[a : a + size] for j in range(size)}) for d in range(-len(item), len(w)))
+            runs = max(sum(1 for a in range(s, len(item) - size + 1) if all(w[p + n : p + n + size] == item[s + n : s + n + size] for n in range(a - s + 1))) for s in at for p in range(len(w) - size + 1))
+            flag = (known >= 8 and (share >= 0.3 or runs + size - 1 >= 50)) or (share >= 0.8 and known >= min(4, len(item)))
+            want.setdefault(k, []).append((not flag, -share, i))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.contaminated, r.n_items, r.item_id) for r in decontaminate.find(df, spark.createDataFrame(bench, "item_id long, text string"), ["doc_id"]).collect()}
+    assert got == {k: (not min(want[k])[0], len(want[k]), min(want[k])[2]) if k in want else (False, 0, None) for k, _ in texts}
+    assert 20 < sum(x[0] for x in got.values()) < 100
