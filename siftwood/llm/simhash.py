@@ -9,8 +9,8 @@ a bucket a pivot distance table holds every fingerprint's Hamming distances to
 PIVOTS reference fingerprints. The bucket is sorted by the first distance and swept;
 pairs whose largest coordinate difference exceeds the radius cannot be near (triangle
 inequality) and are discarded, the survivors are verified. A bucket emits a spanning
-forest of its links, never all pairs. No cap on partners is needed: every bucket is
-swept as a whole.
+forest of its links, never all pairs, and grows it while it is swept: pairs inside a tree
+are not looked at again. No cap on partners is needed: every bucket is swept as a whole.
 
 Edge cases: null or empty text has no word and the fingerprint zero, linked like any
 other. Fewer words than a shingle count as one shingle. Rows with a null id get their
@@ -92,47 +92,73 @@ def _keyed(fps: DataFrame, masks: list[int], *keep: str) -> DataFrame:
     return fps.select("fp", *keep, F.explode(options).alias("x")).select("fp", *keep, "x.m", "x.key")
 
 
-def near_pairs(fp: np.ndarray, group: np.ndarray, pivots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of different fingerprints of one group within the radius.
-    Rows must be sorted by group, then by the distance to the first pivot."""
+def near_steps(fp: np.ndarray, group: np.ndarray, pivots: np.ndarray, radius: int, keep=None):
+    """Positions (i, j) of different fingerprints of one group within the radius, those of
+    one distance in the order at a time. Rows must be sorted by group, then by the distance
+    to the first pivot. ``keep`` may tell rows (i) and pairs (i, j) to leave out."""
     table = np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int16)
-    left, right = [], []
     alive, step = np.arange(len(fp) - 1), 1
     while len(alive):
         alive = alive[alive + step < len(fp)]
+        if keep is not None:
+            alive = alive[keep(alive)]
         other = alive + step
         near = (group[alive] == group[other]) & (table[other, 0] - table[alive, 0] <= radius)
         alive, other = alive[near], other[near]
         i, j = alive, other
+        if keep is not None:
+            new = keep(i, j)
+            i, j = i[new], j[new]
         for p in range(1, table.shape[1]):
             if not len(i):
                 break
-            keep = np.abs(table[i, p] - table[j, p]) <= radius
-            i, j = i[keep], j[keep]
-        keep = np.bitwise_count(fp[i] ^ fp[j]) <= radius
-        left.append(i[keep])
-        right.append(j[keep])
+            close = np.abs(table[i, p] - table[j, p]) <= radius
+            i, j = i[close], j[close]
+        close = np.bitwise_count(fp[i] ^ fp[j]) <= radius
+        yield i[close], j[close]
         step += 1
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _forest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which of the links join two trees not joined before."""
-    parent: dict[int, int] = {}
-    keep = np.zeros(len(i), bool)
+def near_pairs(fp: np.ndarray, group: np.ndarray, pivots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of near_steps()."""
+    steps = list(near_steps(fp, group, pivots, radius))
+    return tuple(np.concatenate([x[k] for x in steps]) if steps else np.zeros(0, int) for k in (0, 1))
+
+
+class Forest:
+    """Trees over the rows of a bucket that grow while it is swept: pairs inside a tree and
+    rows of groups that are one tree already are left out, so memory follows the rows."""
+
+    def __init__(self, group: np.ndarray) -> None:
+        self.group = group - (group[0] if len(group) else 0)
+        self.label = np.arange(len(group))
+        self.parent = np.arange(len(group))
+        self.open = np.bincount(self.group) - 1 if len(group) else np.zeros(0, int)
+        self.links: list[tuple[int, int]] = []
+
+    def keep(self, i: np.ndarray, j: np.ndarray | None = None) -> np.ndarray:
+        return self.open[self.group[i]] > 0 if j is None else self.label[i] != self.label[j]
 
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+    def _root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = int(self.parent[x])
         return x
 
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[a] = b
-            keep[k] = True
-    return keep
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        before = len(self.links)
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            x, y = self._root(int(self.label[a])), self._root(int(self.label[b]))
+            if x != y:
+                self.parent[x] = y
+                self.open[self.group[a]] -= 1
+                self.links.append((a, b))
+        if len(self.links) > before:
+            while True:
+                up = self.parent[self.label]
+                if (up == self.label).all():
+                    break
+                self.label = up
 
 
 def _sweep(pivots: np.ndarray, radius: int):
@@ -140,9 +166,11 @@ def _sweep(pivots: np.ndarray, radius: int):
         group = np.cumsum(np.append(True, (m[1:] != m[:-1]) | (key[1:] != key[:-1])))
         order = np.lexsort((np.bitwise_count(fp ^ pivots[0]), group))
         node, fp, group = node[order], fp[order], group[order]
-        i, j = near_pairs(fp, group, pivots, radius)
-        keep = _forest(i, j)
-        return pa.RecordBatch.from_arrays([pa.array(node[i[keep]]), pa.array(node[j[keep]])], names=["a", "b"])
+        forest = Forest(group)
+        for i, j in near_steps(fp, group, pivots, radius, forest.keep):
+            forest.add(i, j)
+        ends = np.array(forest.links, dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(node[ends[:, 0]]), pa.array(node[ends[:, 1]])], names=["a", "b"])
 
     def run(batches):
         """Rows arrive sorted by (m, key); a group that may go on is carried over."""
