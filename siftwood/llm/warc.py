@@ -4,8 +4,9 @@ Writing tasks roll archives of gzip members and, beside each, a run: its capture
 sorted by URL key and time, in compressed blocks with an index of first keys. Runs
 merge with loser trees, FAN_IN at a time until few remain; those merge by ranges of
 URL keys, every range in a task of its own that seeks to its part of each run. The
-ordered rows carry each URL's capture number; reading back follows them to the
-records in the archives.
+ordered rows carry each URL's capture number. Reading back goes archive by archive, each
+in one pass, and puts the small rows of the records in order again. The pages have no
+capture time: it is made of the page's id.
 
 Files are written under names never used before into the shared folder, and only
 those reported by a finished task are read, so lost and repeated tasks do no harm.
@@ -153,14 +154,24 @@ def read_run(uri: str, low: str | None = None, high: str | None = None) -> Itera
                     yield tuple(row)
 
 
+def _record_id(*parts) -> str:
+    """The same for the same parts, so a task that runs again writes the same records."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps(parts))}>"
+
+
+def _time(page_id: int | None) -> int:
+    return EPOCH + (page_id or 0) % 31_536_000
+
+
 def _record(page_id, url: str, payload: bytes, digest: str, refers_to, ts: int) -> bytes:
     date = _date(ts)
     kind = "response" if refers_to is None else "revisit"
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     body = head + (payload if kind == "response" else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"WARC-Target-URI: {url.translate(_LINE)}", f"WARC-Payload-Digest: sha1:{digest}"]
+    own = _record_id("response", page_id, digest) if kind == "response" else _record_id("revisit", page_id, digest, url)
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Date: {date}", f"WARC-Target-URI: {url.translate(_LINE)}", f"WARC-Payload-Digest: sha1:{digest}"]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"Siftwood-Refers-To: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id('response', refers_to, digest)}", f"WARC-Refers-To-Date: {_date(_time(refers_to))}", f"Siftwood-Refers-To: {refers_to}"]
     lines += [f"Siftwood-Page: {'' if page_id is None else page_id}", f"Siftwood-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -205,7 +216,7 @@ def _write(folder: str):
         for batch in batches:
             for i in range(batch.num_rows):
                 page, url, html, first = (batch.column(c)[i].as_py() for c in ("page_id", "url", "html", "first"))
-                payload, ts = html.encode(), EPOCH + (page or 0) % 31_536_000
+                payload, ts = html.encode(), _time(page)
                 if out is None:
                     name, rows, at = f"{folder}/{uuid.uuid4().hex}", [], 0
                     system, path = _open(f"{name}.warc.gz")
@@ -322,30 +333,31 @@ def merge_index(runs: DataFrame) -> DataFrame:
 
 
 def read_archives(index: DataFrame) -> DataFrame:
-    """The records that the rows of an index point to, as RECORD."""
+    """The records that the rows of an index point to, as RECORD, in the index's order."""
 
     def run(batches):
+        name = source = None
         for batch in batches:
-            table = batch.to_pydict()
-            order = sorted(range(batch.num_rows), key=lambda i: (table["file"][i], table["offset"][i]))
-            found: list[dict] = [{}] * batch.num_rows
-            source = None
-            for i in order:
-                if source is None or name != table["file"][i]:  # noqa: F821
+            found = []
+            for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
+                if file != name:
                     if source is not None:
                         source.close()
-                    name = table["file"][i]
+                    name = file
                     system, path = _open(name)
                     source = system.open_input_file(path)
-                source.seek(table["offset"][i])
-                found[i] = parse_record(zlib.decompress(source.read(table["length"][i]), 31))
-            if source is not None:
-                source.close()
+                source.seek(offset)
+                found.append(parse_record(zlib.decompress(source.read(length), 31)))
             types = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string()}
             arrays = [pa.array([x[c] for x in found], t) for c, t in types.items()]
             yield pa.RecordBatch.from_arrays([*arrays, *(batch.column(c) for c in ("urlkey", "ts", "capture"))], names=[*types, "urlkey", "ts", "capture"])
+        if source is not None:
+            source.close()
 
-    return index.mapInArrow(run, RECORD)
+    partitions = shuffle_partitions(index.sparkSession)
+    # an archive is read by one task from its start to its end; its size is bounded
+    records = checkpoint(index.repartition(partitions, "file").sortWithinPartitions("file", "offset").mapInArrow(run, RECORD))
+    return records.repartitionByRange(partitions, "urlkey", "ts", "capture").sortWithinPartitions("urlkey", "ts", "capture")
 
 
 def round_trip(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
