@@ -25,7 +25,7 @@ The sample only chooses the route; the result is the same by either.
 Shards are reached by content rather than by broadcasting each to every document:
 sending all shards past all documents costs the square of the corpus.
 
-Edge cases: null text counts as empty. A null id counts as larger than all others;
+Edge cases: null text counts as empty. A null id counts as 2^63 - 1, larger than all others;
 rows with one id are one document (windows never repeat from their own id).
 Texts of fewer words than a window keep all words. Passages are compared by 64-bit
 hashes of their words.
@@ -46,9 +46,9 @@ from siftwood.llm.words import blocks, hash_runs, hash_words, mix, text_bytes, w
 ANCHOR_WORDS = 5
 SHARD_SEGMENTS = 4096
 LAST_ID = 2**63 - 1
-_SEGMENT = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("check", "<i4"), ("at", "<u4"), ("windows", "<u2")])
-_FOUND = np.dtype([("doc", "<i8"), ("check", "<i4"), ("at", "<u4"), ("windows", "<u2")])
-_NEEDED = np.dtype([("doc", "<i8"), ("check", "<i4"), ("at", "<u4"), ("windows", "<u2"), ("split", "u1"), ("anchor", "<u8")])
+_SEGMENT = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("check", "<i8"), ("at", "<u4"), ("windows", "<u2")])
+_FOUND = np.dtype([("doc", "<i8"), ("check", "<i8"), ("at", "<u4"), ("windows", "<u2")])
+_NEEDED = np.dtype([("doc", "<i8"), ("check", "<i8"), ("at", "<u4"), ("windows", "<u2"), ("split", "u1"), ("anchor", "<u8")])
 _PACKED = "part int, kind int, payload binary"
 SEGMENT, FOUND, NEEDED, CONTENT = range(4)
 #: One row in SAMPLE_ROWS is looked at for hot anchors; those in more than HOT_SAMPLED
@@ -250,7 +250,7 @@ def _merge(width: int):
                 out.setdefault((int(need["doc"][i]), int(need["check"][i])), [None, None])[1] = _pack(need[i:j])
             keys = list(out)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([out[k][0] for k in keys], pa.binary()), pa.array([out[k][1] for k in keys], pa.binary())],
+                [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([out[k][0] for k in keys], pa.binary()), pa.array([out[k][1] for k in keys], pa.binary())],
                 names=["doc", "check", "spans", "need"],
             )
 
@@ -279,7 +279,7 @@ def _emit_content(width: int, parts: int):
                             own["at"] = x["at"] + np.arange(x["windows"])
                             windows.append(own)
                         else:
-                            head = np.array([x["anchor"], x["doc"].astype(np.uint64), np.uint64(np.uint32(x["check"])), x["at"], x["windows"]], dtype="<u8")
+                            head = np.array([x["anchor"], x["doc"].astype(np.uint64), x["check"].astype(np.uint64), x["at"], x["windows"]], dtype="<u8")
                             items.append((int(x["anchor"] % np.uint64(parts)), head.tobytes() + cut.tobytes()))
             packed: dict[int, list[bytes]] = {}
             for part, raw in items:
@@ -308,6 +308,10 @@ def matched_windows(segments: list[tuple[int, int, np.ndarray]], width: int) ->
     return out
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _match(width: int, parts: int):
     def run(batches):
         for _, held in _groups(batches):
@@ -317,7 +321,7 @@ def _match(width: int, parts: int):
                 while at < len(flat):
                     anchor, doc, check, pos, windows = (int(x) for x in flat[at : at + 5])
                     size = windows + width - 1
-                    segments.append((anchor, doc - (1 << 64) if doc >> 63 else doc, check, pos, flat[at + 5 : at + 5 + size]))
+                    segments.append((anchor, _signed(doc), _signed(check), pos, flat[at + 5 : at + 5 + size]))
                     at += 5 + size
             segments.sort(key=lambda x: x[:4])
             found, i = [], 0
@@ -329,7 +333,7 @@ def _match(width: int, parts: int):
                 for (_, doc, check, pos, _), hit in zip(shard, matched_windows([(x[1], x[2], x[4]) for x in shard], width), strict=True):
                     if len(hit):
                         own = np.empty(len(hit), _FOUND)
-                        own["doc"], own["check"], own["at"], own["windows"] = doc, np.uint32(check).astype(np.int32), pos + hit, 1
+                        own["doc"], own["check"], own["at"], own["windows"] = doc, check, pos + hit, 1
                         found.append(own)
                 i = j
             if SEGMENT in held:
@@ -381,13 +385,13 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     partitions = shuffle_partitions(spark)
     parts = partitions * PARTS_PER_PARTITION
     text = text_or_empty(F.col(text_col))
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.hash(text).alias("check"), text.alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("check"), text.alias("text"))
 
     def exchanged(packed: DataFrame) -> DataFrame:
         return packed.repartition(partitions, "part").sortWithinPartitions("part")
 
     def merged(packed: DataFrame) -> DataFrame:
-        return exchanged(packed).mapInArrow(_merge(min_words), "doc long, check int, spans binary, need binary")
+        return exchanged(packed).mapInArrow(_merge(min_words), "doc long, check long, spans binary, need binary")
 
     narrow = docs.select("doc", "check", "text")
     sampled = narrow.filter(F.pmod(F.xxhash64("doc", "check"), F.lit(SAMPLE_ROWS)) == 0).mapInArrow(_count_anchors(min_words), "anchor long, n long")
