@@ -109,6 +109,31 @@ def test_near_pairs_loses_no_link():
     i, j = simhash.near_pairs(fp, np.zeros(len(fp), int), pivots, 4)
     want = {(a, b) for a in range(len(fp)) for b in range(a + 1, len(fp)) if np.bitwise_count(fp[a] ^ fp[b]) <= 4}
     assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())} == want
+    group = np.sort(rng.integers(0, 3, len(fp)))
+    order = np.lexsort((np.bitwise_count(fp ^ pivots[0]), group))
+    forest = simhash.Forest(group)
+    for i, j in simhash.near_steps(fp[order], group, pivots, 4, forest.keep):
+        forest.add(i, j)
+    label = list(range(len(fp)))
+    for a in range(len(fp)):
+        for b in range(a):
+            if group[a] == group[b] and np.bitwise_count(fp[order][a] ^ fp[order][b]) <= 4:
+                label = [label[a] if x == label[b] else x for x in label]
+    same = lambda x: {tuple(np.flatnonzero(np.array(x) == v)) for v in set(x)}
+    assert same(forest.label.tolist()) == same(label) and len(forest.links) == len(fp) - len(set(label))
+
+
+def test_dense_balls_are_swept_in_bounded_memory():
+    rng = np.random.default_rng(2)
+    n = 60_000
+    flips = np.array([rng.choice(64, 2, replace=False) for _ in range(n)], dtype=np.uint64)
+    fp = np.unique(np.uint64(0x0123456789ABCDEF) ^ (np.uint64(1) << flips[:, 0]) ^ (np.uint64(1) << flips[:, 1]) ^ (rng.integers(0, 2, n).astype(np.uint64) << np.uint64(9)))
+    pivots = rng.integers(0, 2**63, 16, dtype=np.uint64)
+    fp = fp[np.argsort(np.bitwise_count(fp ^ pivots[0]), kind="stable")]
+    forest = simhash.Forest(np.zeros(len(fp), int))
+    for i, j in simhash.near_steps(fp, np.zeros(len(fp), int), pivots, 4, forest.keep):
+        forest.add(i, j)
+    assert len(fp) > 3000 and len(forest.links) == len(fp) - 1
 
 
 def test_components(spark):
@@ -308,6 +333,18 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_trees_beat_the_majority_on_held_out_urls(spark):
+    rng = random.Random(4)
+    hosts = [f"{'www.' * (k % 2)}site{k % 9}.{t}" for k in range(30) for t in ("net", "info", "biz")]
+    blocked = lambda host, part: host.endswith("biz") or part == "ads"
+    rows = [(f"http://{h}/{p}/{rng.randrange(10**4)}", blocked(h, p)) for h, p in ((rng.choice(hosts), rng.choice(["ads", "news", "shop", "about"])) for _ in range(1200))]
+    train, held = spark.createDataFrame(rows[:800], "url string, blocked boolean"), rows[800:]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame([(k, u) for k, (u, _) in enumerate(held)], "page_id long, url string"), rules=[], labelled=train).collect()}
+    right = sum((got[k] == "block") == b for k, (_, b) in enumerate(held)) / len(held)
+    most = max(sum(b for _, b in held), sum(not b for _, b in held)) / len(held)
+    assert right > 0.95 > most + 0.2
+
+
 def test_mixing(spark):
     children = spark.createDataFrame([("p", "a", 10, 1, 100), ("p", "b", 1000, 1, 100), ("p", "c", 1000, 2, 100)], "parent string, child string, capacity long, weight long, budget long")
     assert {r.child: r.budget for r in mixing.pour(children, ["parent"], "child").collect()} == {"a": 10, "b": 30, "c": 60}
