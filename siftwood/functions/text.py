@@ -31,6 +31,13 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(runs(text), units(text)), F.lower))
 
 
+def capped_tokens(text: Column) -> Column:
+    """tokens(), each at most MAX_TOKEN_BYTES long; only texts with a longer one pay for it."""
+    found = tokens(text)
+    long = F.exists(found, lambda t: F.octet_length(t) > MAX_TOKEN_BYTES)
+    return F.when(long, F.array_distinct(F.transform(found, capped))).otherwise(found)
+
+
 def capped(token: Column) -> Column:
     """At most 64 bytes of a token, cut between characters."""
     short = F.octet_length(token) <= MAX_TOKEN_BYTES
@@ -48,6 +55,24 @@ def normalize_token(token: str) -> str | None:
     return token.lower() if ok else None
 
 
+def normalized(text: Column) -> Column:
+    """A text that is one token, in lower case; null for another one."""
+    return F.when(text.rlike(rf"^{WORD}$"), F.lower(text))
+
+
+def bytes_fields(content: Column, key: str) -> list[Column]:
+    """A binary column for JSON: ``key`` with U+FFFD for what is no UTF-8, and
+    ``key``_base64 with the exact bytes where that lost something."""
+    text = content.cast("string")
+    return [F.make_valid_utf8(text).alias(key), F.when(~F.is_valid_utf8(text), F.base64(content)).alias(f"{key}_base64")]
+
+
+def bytes_item(content: Column) -> Column:
+    """An array's item for JSON: the text, or an object with its base64."""
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2)).otherwise(F.to_json(F.struct(F.base64(content).alias("base64"))))
+
+
 def py_units(text: str) -> list[str]:
     """units() of a query argument, on the driver."""
     out = []
@@ -83,18 +108,19 @@ def text_match(text: Column, argument: str, exact: bool = False) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def as_bytes(text: Column) -> Column:
+    """The UTF-8 bytes of a text as a string of one character (U+0000 to U+00FF) each."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+
 def trigrams(text: Column) -> Column:
-    """The different trigrams (ASCII-folded) of a text, by characters."""
-    folded = ascii_lower(text)
-    letters = F.filter(F.split(folded, ""), lambda c: c != "")
-    n = F.greatest(F.size(letters) - 2, F.lit(0))
-    join = lambda a, b: F.concat(a, b)
-    pairs = F.zip_with(F.slice(letters, 1, n), F.slice(letters, 2, n), join)
-    return F.array_distinct(F.zip_with(pairs, F.slice(letters, 3, n), join))
+    """The different trigrams of a text's UTF-8 bytes (ASCII letters folded), one pass of a
+    regex that looks three bytes ahead at every position."""
+    return F.array_distinct(F.regexp_extract_all(ascii_lower(as_bytes(text)), F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
 def trigram_keys(literal: str) -> list[str]:
-    folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in literal)
+    folded = "".join(chr(b + 32) if 65 <= b <= 90 else chr(b) for b in literal.encode())
     return sorted({folded[i : i + 3] for i in range(len(folded) - 2)})
 
 
@@ -109,7 +135,28 @@ def is_binary(content: Column) -> Column:
 
 
 def strip_bom(text: Column) -> Column:
-    return F.regexp_replace(text, "^\\x{FEFF}", "")
+    return F.when(text.startswith("\ufeff"), F.substr(text, F.lit(2))).otherwise(text)
+
+
+def without_blobs(text: Column) -> Column:
+    """The text with its base64-like runs blanked; texts without a long run of such
+    characters stay in the JVM."""
+
+    @F.pandas_udf("string")
+    def blank(texts):
+        import pandas as pd
+
+        def one(value: str | None) -> str | None:
+            if value is None:
+                return None
+            for a, b in reversed(base64_spans(value)):
+                value = value[:a] + " " + value[b:]
+            return value
+
+        return pd.Series([one(x) for x in texts])
+
+    suspect = text.rlike("[A-Za-z0-9+/_-]{20,}")
+    return F.coalesce(blank(F.when(suspect, text)), text)
 
 
 def base64_spans(text: str) -> list[tuple[int, int]]:

@@ -8,6 +8,7 @@ what it doesn't cover answers maybe.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +29,17 @@ class Index:
     coverage: DataFrame
 
     def write(self, folder: str, buckets: int = 64) -> None:
-        """Sorted by term inside range partitions, so a lookup prunes by row-group
-        statistics; documents' coverage beside them."""
-        self.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
-        self.grams.repartitionByRange(buckets, "key").sortWithinPartitions("key", "doc_id").write.mode("overwrite").parquet(f"{folder}/grams")
+        """Sorted by term inside ranges of terms and documents, so a lookup prunes by
+        row-group statistics and a frequent term spreads over partitions; the documents'
+        coverage beside them. Range bounds are sampled from a raw copy, so the texts are
+        analysed once."""
+        spark = self.postings.sparkSession
+        for name, key in (("postings", "term"), ("grams", "key")):
+            raw = f"{folder}/raw-{name}"
+            getattr(self, name).select(key, "doc_id").write.mode("overwrite").option("compression", "lz4").parquet(raw)
+            spark.read.parquet(raw).repartitionByRange(buckets, key, "doc_id").sortWithinPartitions(key, "doc_id").write.mode("overwrite").parquet(f"{folder}/{name}")
+            path = spark._jvm.org.apache.hadoop.fs.Path(raw)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         self.coverage.write.mode("overwrite").parquet(f"{folder}/coverage")
 
     @staticmethod
@@ -39,8 +47,11 @@ class Index:
         return Index(*(spark.read.parquet(f"{folder}/{t}") for t in ("postings", "grams", "coverage")))
 
 
-def build(docs: DataFrame, text: str = "text") -> Index:
-    postings = docs.select("doc_id", F.explode(T.tokens(F.col(text))).alias("term")).select(T.capped(F.col("term")).alias("term"), "doc_id").distinct()
+def build(docs: DataFrame, text: str = "text", skip_blobs: bool = False) -> Index:
+    """Postings of tokens and trigrams. ``skip_blobs`` leaves the tokens of base64-like
+    runs out, which saves much of the dictionary; trigrams still find them."""
+    words = T.without_blobs(F.col(text)) if skip_blobs else F.col(text)
+    postings = docs.select("doc_id", F.explode(T.capped_tokens(words)).alias("term")).select("term", "doc_id")
     grams = docs.select(F.explode(T.trigrams(F.col(text))).alias("key"), "doc_id")
     return Index(postings, grams, docs.select("doc_id"))
 
@@ -50,6 +61,12 @@ def terms(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def key_counts(grams: DataFrame, query: tuple) -> dict[str, int]:
+    """How many documents hold each key of a query (at most the query's keys)."""
+    wanted = sorted(trigram.keys(query))
+    return {r["key"]: r["count"] for r in grams.filter(F.col("key").isin(*wanted)).groupBy("key").count().collect()} if wanted else {}
+
+
 def documents_with(postings: DataFrame, term: str) -> DataFrame:
     return postings.filter(F.col("term") == term).select("doc_id")
 
@@ -108,7 +125,7 @@ def answer(index: Index, atom: Atom, live: DataFrame) -> DataFrame:
         table = found.filter(test).select("doc_id", truth.cast("boolean").alias("truth"))
     else:
         query = trigram.derive(atom.value)
-        docs = trigram.candidates(index.grams, query)
+        docs = trigram.candidates(index.grams, trigram.weaken(query, key_counts(index.grams, query)))
         table = maybe(live.select("doc_id") if docs is None else docs)
     return with_uncovered(live_only(table, live), index, live)
 
@@ -178,6 +195,18 @@ def merge_segments(sizes: list[tuple[str, int, int]], factor: int = 10, span: fl
     return groups + [[n] for n, b, d in sizes if n not in taken and d > dead_share * b]
 
 
+def merged_dictionary(dictionaries: list[DataFrame]) -> DataFrame:
+    """term, df of several segments' dictionaries (term, df)."""
+    return reduce(lambda a, b: a.unionByName(b), dictionaries).groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def merge(segments: list[Index], live: DataFrame) -> Index:
+    """One index of several segments, without what dead documents left. A document that
+    several segments cover counts once."""
+    joined = [reduce(lambda a, b: a.unionByName(b), [getattr(s, name) for s in segments]) for name in ("postings", "grams", "coverage")]
+    return purge(Index(joined[0].select("term", "doc_id").distinct(), joined[1].select("key", "doc_id").distinct(), joined[2].select("doc_id").distinct()), live)
+
+
 def name_terms(entries: DataFrame) -> DataFrame:
     """token, name of the different names, to be joined with entries by name."""
     return entries.select("name").distinct().select(F.explode(T.tokens(F.col("name"))).alias("token"), "name")

@@ -7,7 +7,8 @@ complete, ``protected`` those that could not be read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -61,9 +62,19 @@ def diff(old: DataFrame, new: DataFrame, covered: DataFrame | None = None, prote
     return rows
 
 
+def diff_inodes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """kind (insert, update, delete, unchanged), dev, ino: the same on the inodes, one row
+    for each however many names it has. Aliases that disagree count as an update."""
+    facts = [c for c in STAT if c not in IDENTITY and c in old.columns and c in new.columns]
+    one = lambda df, name: df.groupBy(*IDENTITY).agg(F.min(F.to_json(F.struct(*facts))).alias(name), (F.min(F.to_json(F.struct(*facts))) != F.max(F.to_json(F.struct(*facts)))).alias(f"{name}_split"))
+    rows = one(old, "was").join(one(new, "is"), list(IDENTITY), "full")
+    kind = F.when(F.col("was").isNull(), "insert").when(F.col("is").isNull(), "delete").when((F.col("was") == F.col("is")) & ~F.col("was_split") & ~F.col("is_split"), "unchanged").otherwise("update")
+    return rows.select(*IDENTITY, kind.alias("kind"))
+
+
 def change_records(old: DataFrame, new: DataFrame, covered: DataFrame | None = None) -> DataFrame:
-    """NamePut, NameDelete, InodePut and LinkPut records (kind, key, payload), sorted by a
-    fixed key; a link's record comes only where its target changed."""
+    """NamePut, NameDelete, InodePut and LinkPut records (kind, key, payload), in no order (a
+    writer sorts what it stores); a link's record comes only where its target changed."""
     edges = diff(old, new, covered)
     path = F.concat("parent", F.lit("/"), "name")
     names = edges.filter("kind in ('insert', 'delete')").select(F.when(F.col("kind") == "insert", "NamePut").otherwise("NameDelete").alias("kind"), path.alias("key"), F.lit(None).cast("string").alias("payload"))
@@ -71,7 +82,7 @@ def change_records(old: DataFrame, new: DataFrame, covered: DataFrame | None = N
     inodes = fresh.select(F.lit("InodePut").alias("kind"), F.concat_ws(":", "dev", "ino").alias("key"), F.to_json(F.struct(*[c for c in STAT if c in new.columns])).alias("payload")).distinct()
     links = new.filter("kind = 'symlink'").join(old.filter("kind = 'symlink'").select("parent", "name", F.col("target").alias("__was")), ["parent", "name"], "left")
     links = links.filter(~F.col("target").eqNullSafe(F.col("__was"))).select(F.lit("LinkPut").alias("kind"), path.alias("key"), F.col("target").alias("payload"))
-    return names.unionByName(inodes).unionByName(links).orderBy("kind", "key")
+    return names.unionByName(inodes).unionByName(links)
 
 
 def latest(log: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
@@ -89,15 +100,38 @@ def overlay(base: DataFrame, log: DataFrame, key: str = "id", seq: str = "seq")
 
 
 def compact(base: DataFrame, log: DataFrame, folder: str, key: str = "id", seq: str = "seq") -> str:
-    """Write the overlay as the next version below ``folder``; the pointer changes last."""
+    """Write the overlay as the next version below ``folder``."""
     import uuid
 
     version = uuid.uuid4().hex
     overlay(base, log, key, seq).write.parquet(f"{folder}/{version}")
-    base.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{folder}/current")
+    publish(base.sparkSession, folder, version)
     return f"{folder}/{version}"
 
 
+def published(spark: SparkSession, folder: str) -> Row | None:
+    """number, version of the newest published version below ``folder``."""
+    try:
+        return spark.read.schema("number long, version string").json(f"{folder}/current").orderBy(F.desc("number"), "version").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def publish(spark: SparkSession, folder: str, version: str) -> None:
+    """Make a written version the newest one. Pointers are only added, never overwritten, so
+    a crash at any moment leaves the version before in force."""
+    last = published(spark, folder)
+    number = 0 if last is None else last.number + 1
+    spark.createDataFrame([(number, version)], "number long, version string").coalesce(1).write.mode("append").json(f"{folder}/current")
+
+
+def append_log(log: DataFrame, folder: str) -> None:
+    """Add records to a change log; readers see all of them or none."""
+    log.write.mode("append").parquet(folder)
+
+
 def needs_compaction(records: int, size: int, dirty_percent: float, dead_percent: float) -> bool:
     return size >= 64 << 20 or records >= 500_000 or dirty_percent >= 1 or dead_percent >= 5
 

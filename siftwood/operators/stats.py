@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+import re
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,21 +44,46 @@ def histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.filter(F.col(column).isNotNull()).groupBy(bucket(F.col(column)).alias("bucket")).agg(F.count("*").alias("n"), F.sum(column).alias("total"))
 
 
+#: Equal parts into which a range of values is cut while percentiles are looked for, and
+#: how many different values one task may put in order.
+PARTS, SORTED = 4096, 1 << 16
+
+
 def percentiles(rows: DataFrame, column: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99, 1.0)) -> DataFrame:
     """q, value at index round((n - 1) q) of the sorted column, halves away from zero.
 
-    Values are counted first, ranks come from running sums over log2 buckets and then
-    over the different values of the few buckets that hold an index: no task sorts all.
-    """
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).withColumn("bucket", bucket(F.abs(F.floor("value"))) * F.when(F.col("value") < 0, -1).otherwise(1))
-    totals = counts.groupBy("bucket").agg(F.sum("n").alias("m"))
-    line = W.orderBy("bucket")
-    totals = totals.select("bucket", (F.sum("m").over(line.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("m")).alias("before"), F.col("m"), F.sum("m").over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("all"))
-    wanted = F.array(*[F.struct(F.lit(q).alias("q"), F.floor((F.col("all") - 1) * F.lit(q) + 0.5).cast("long").alias("index")) for q in shares])
-    totals = totals.select("bucket", "before", F.explode(F.filter(wanted, lambda w: (w["index"] >= F.col("before")) & (w["index"] < F.col("before") + F.col("m")))).alias("w"))
-    within = W.partitionBy("q").orderBy("value")
-    ranked = counts.join(totals.select("bucket", "before", "w.q", "w.index"), "bucket").withColumn("upto", F.col("before") + F.sum("n").over(within.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return ranked.filter((F.col("upto") > F.col("index")) & (F.col("upto") - F.col("n") <= F.col("index"))).select("q", "value")
+    Values are counted first. Totals of log2 buckets (at most some 130 rows for the driver)
+    tell which bucket holds an index; a bucket of more than SORTED different values is cut
+    into PARTS ranges, again and again, so no task puts more than that in order."""
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+
+    def totals(held: DataFrame, part: Column) -> list[Row]:
+        return held.groupBy(part.alias("part")).agg(F.sum("n").alias("m"), F.count("*").alias("d"), F.min("value").alias("low"), F.max("value").alias("high")).orderBy("part").collect()
+
+    def holder(parts: list[Row], before: int, index: int) -> tuple[Row, int]:
+        for p in parts:
+            if index < before + p.m:
+                return p, before
+            before += p.m
+        raise AssertionError("an index lies in some part")
+
+    first = totals(counts, bucket(F.abs(F.floor("value"))) * F.when(F.col("value") < 0, -1).otherwise(1))
+    everything, marks = sum(p.m for p in first), []
+    for q in shares if everything else ():
+        index = math.floor((everything - 1) * q + 0.5)
+        part, before = holder(first, 0, index)
+        while part.d > SORTED:
+            held = counts.filter((F.col("value") >= part.low) & (F.col("value") <= part.high))
+            share = (F.col("value") - part.low) / (part.high - part.low) * PARTS
+            part, before = holder(totals(held, F.least(F.lit(PARTS - 1), F.floor(share).cast("int"))), before, index)
+        marks.append(F.struct(F.lit(q).alias("q"), F.lit(index).alias("index"), F.lit(before).alias("before"), F.lit(part.low).alias("low"), F.lit(part.high).alias("high")))
+    if not marks:
+        return counts.limit(0).select(F.lit(0.0).alias("q"), "value")
+    near = F.filter(F.array(*marks), lambda w: (F.col("value") >= w["low"]) & (F.col("value") <= w["high"]))
+    held = counts.select("value", "n", F.explode(near).alias("w"))
+    within = W.partitionBy("w.q").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = held.withColumn("upto", F.col("w.before") + F.sum("n").over(within))
+    return ranked.filter((F.col("upto") > F.col("w.index")) & (F.col("upto") - F.col("n") <= F.col("w.index"))).select("w.q", "value")
 
 
 def hard_links(names: DataFrame) -> DataFrame:
@@ -106,3 +134,23 @@ def budgets(log: DataFrame, catalog_rows: int) -> DataFrame:
 
 def as_json(table: DataFrame) -> DataFrame:
     return table.select(F.to_json(F.struct(*table.columns)).alias("value"))
+
+
+def sample(rows: DataFrame, key: str, share: int) -> DataFrame:
+    """About one row in ``share``, the same ones whenever it is asked."""
+    return rows.filter(F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % share == 0)
+
+
+def pretty_bytes(n: Column) -> Column:
+    """A number of bytes for people: whole bytes, else one decimal of a binary unit."""
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
+        out = F.when(n >= 1 << 10 * k, F.concat(F.format_string("%.1f", n / float(1 << 10 * k)), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
+def section_bytes(spark, folder: str, names: int) -> DataFrame:
+    """section, bytes, bytes_per_name of a stored catalog's parts (no content is read)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    inside = F.regexp_extract("path", re.escape(folder.rstrip("/")) + "/([^/]+)", 1)
+    return files.groupBy(inside.alias("section")).agg(F.sum("length").alias("bytes")).withColumn("bytes_per_name", F.col("bytes") / max(1, names))

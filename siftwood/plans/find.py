@@ -153,7 +153,9 @@ def build_test(name: str, args: list[str], o: Options, c: Context) -> Column:
         letters = a.split(",")
         if len(set(letters)) != len(letters) or not set(letters) <= set(KINDS):
             raise FindError(f"invalid type {a!r}")
-        followed = F.coalesce(F.col("follow_kind"), F.col("kind")) if name == "-xtype" else F.col("kind")
+        # links to nothing and links that go round stay links
+        behind = F.when(F.col("follow_kind") == "loop", "symlink").otherwise(F.col("follow_kind"))
+        followed = F.coalesce(behind, F.col("kind")) if name == "-xtype" else F.col("kind")
         return followed.isin(*[KINDS[x] for x in letters])
     if name in ("-lname", "-ilname"):
         return (F.col("kind") == "symlink") & F.coalesce(F.col("target").rlike(P.fnmatch(a, name == "-ilname")), F.lit(False))
@@ -463,13 +465,16 @@ def with_followed(entries: DataFrame, hops: int = 8) -> DataFrame:
     return entries.join(found, "path", "left")
 
 
-def order_of(plan: Plan) -> list[Column]:
-    return [F.desc("path")] if plan.options.post_order else [F.asc("path")]
+def walk_order(plan: Plan) -> Column:
+    """Component by component; with -depth a directory comes behind what it holds."""
+    parts = F.split("path", "/")
+    return F.concat(parts, F.array(F.lit("\U0010ffff"))) if plan.options.post_order else parts
 
 
 def find(entries: DataFrame, args: list[str], context: Context, call=None) -> DataFrame:
     """path and record (what the action writes) of every action's entries, with action
-    and target. ``-quit`` keeps the first entry in walk order that reaches it."""
+    and target. ``-quit`` ends the walk at the first entry in walk order that reaches it:
+    earlier entries act as ever, that entry as far as its actions stand before it."""
     plan = parse(args)
     _, pruned, actions = compile_expression(plan, context, call)
     for name in ("user_name", "group_name", "fs_type", "follow_kind"):
@@ -481,10 +486,25 @@ def find(entries: DataFrame, args: list[str], context: Context, call=None) -> Da
         rows = rows.filter(F.col("depth") >= plan.options.least)
     now = context.now_ns // NS
     if "quit" in plan.used:
-        stop = next(c for c, a in actions if a.kind == "quit")
-        before = [(c, a) for c, a in actions if a.kind != "quit"] or []
-        rows = rows.filter(stop).orderBy(*order_of(plan)).limit(1)
-        actions = before or [(F.lit(True), Action("print"))]
+        ends = F.lit(False)
+        for c, a in actions:
+            ends = (ends | c) if a.kind == "quit" else ends
+        # one row: where the walk ends
+        last = rows.filter(ends).select(walk_order(plan).alias("at")).orderBy("at").limit(1).collect()
+        if last:
+            mark = F.array(*map(F.lit, last[0]["at"]))
+            rows = rows.filter(walk_order(plan) <= mark)
+            reached, kept = F.lit(False), []
+            for c, a in actions:
+                if a.kind == "quit":
+                    reached = reached | c
+                else:
+                    kept.append((c & ~((walk_order(plan) == mark) & reached), a))
+            actions = kept
+        else:
+            actions = [(c, a) for c, a in actions if a.kind != "quit"]
+        if not actions:
+            return rows.limit(0).select("path", F.lit("").alias("record"), F.lit(0).alias("action"), F.lit(None).cast("string").alias("target"))
     outs = []
     for number, (condition, action) in enumerate(actions):
         if action.kind == "print":
@@ -522,11 +542,16 @@ def delete_plan(found: DataFrame) -> DataFrame:
     return found.select(F.lit("NameDelete").alias("kind"), "path", F.size(F.split("path", "/")).alias("level")).orderBy(F.desc("level"), F.desc("path"))
 
 
-def exec_batches(found: DataFrame, command: list[str], budget: int = 128 << 10) -> DataFrame:
+def exec_batches(found: DataFrame, command: list[str], budget: int = 128 << 10, in_directory: bool = False) -> DataFrame:
     """-exec CMD {} +: argument lists within a byte budget, directory by directory (so
-    that no task orders the whole result)."""
-    cost = F.octet_length("path") + 1 + 8
+    that no task orders the whole result). ``in_directory`` is -execdir: the arguments are
+    ./name, to be run in their parent."""
+    if in_directory:
+        found = found.withColumn("argument", F.concat(F.lit("./"), F.regexp_extract("path", "([^/]*)$", 1)))
+    else:
+        found = found.withColumn("argument", F.col("path"))
+    cost = F.octet_length("argument") + 1 + 8
     w = W.partitionBy("parent").orderBy("path").rowsBetween(W.unboundedPreceding, W.currentRow)
     fixed = sum(len(c.encode()) + 9 for c in command if c != "{}")
-    rows = found.select(F.regexp_replace("path", "/[^/]*$", "").alias("parent"), "path").withColumn("batch", F.floor((F.sum(cost).over(w) - cost) / F.lit(max(1, budget - fixed))))
-    return rows.groupBy("parent", "batch").agg(F.sort_array(F.collect_list("path")).alias("arguments"))
+    rows = found.select(F.regexp_replace("path", "/[^/]*$", "").alias("parent"), "path", "argument").withColumn("batch", F.floor((F.sum(cost).over(w) - cost) / F.lit(max(1, budget - fixed))))
+    return rows.groupBy("parent", "batch").agg(F.sort_array(F.collect_list("argument")).alias("arguments"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from siftwood.functions import patterns as P
 from siftwood.functions.text import strip_bom
+from siftwood.plans.trigram import required_literal
 
 SHORT = {
     "n": "line-number", "N": "no-line-number", "i": "ignore-case", "s": "case-sensitive", "S": "smart-case", "F": "fixed-strings", "w": "word-regexp", "x": "line-regexp", "v": "invert-match", "o": "only-matching",
@@ -209,7 +210,14 @@ def _candidates(docs: DataFrame, plan: Plan, text: str) -> DataFrame:
         for p in plan.patterns:
             test = test | F.col(text).contains(p)
         return docs.filter(test)
-    return docs.filter(F.col(text).rlike("(?m)" + plan.regex))
+    # a literal that every match holds is looked for before the regex runs
+    literals = [] if plan.folds or plan.fixed or any("(?" in p for p in plan.patterns) else [required_literal(p) for p in plan.patterns]
+    if literals and all(literals):
+        test = F.lit(False)
+        for literal in literals:
+            test = test | F.col(text).contains(literal)
+        docs = docs.filter(test)
+    return docs.filter(strip_bom(F.col(text)).rlike("(?m)" + plan.regex))
 
 
 def matched_lines(docs: DataFrame, plan: Plan, key: list[str], text: str = "text") -> DataFrame:
@@ -256,13 +264,33 @@ def only_matching(docs: DataFrame, plan: Plan, key: list[str], text: str = "text
     """-o: key, line_no, number, match of the spans that aren't empty (with -r, replaced)."""
     rows = selected(docs, plan, key, text)
     if "replace" in plan.values:
-        marked = F.regexp_replace("line", F.lit(plan.regex), F.lit("\x01" + java_template(plan) + "\x02"))
-        found = F.regexp_extract_all(marked, F.lit("\x01([^\x01\x02]*)\x02"), F.lit(1))
+        # the marks are noncharacters, which no text exchanges
+        marked = F.regexp_replace("line", F.lit(plan.regex), F.lit("\ufdd0" + java_template(plan) + "\ufdd1"))
+        found = F.regexp_extract_all(marked, F.lit("\ufdd0([^\ufdd0\ufdd1]*)\ufdd1"), F.lit(1))
     else:
         found = F.filter(F.regexp_extract_all("line", F.lit(plan.regex), F.lit(0)), lambda m: m != "")
     return rows.select(*key, "line_no", F.posexplode(found).alias("number", "match"))
 
 
+def one_input(spark, content: bytes, name: str = "<stdin>") -> DataFrame:
+    """A single input, as from a pipe: path, text (what is no UTF-8 becomes U+FFFD)."""
+    return spark.createDataFrame([(name, content.decode("utf-8", "replace"))], "path string, text string")
+
+
+def presented(found: DataFrame, plan: Plan, path: str = "path") -> DataFrame:
+    """path, line_no, record: lines as they are printed. -H puts the path before each, -0
+    a NUL behind it, -n the number; --heading leaves the path to a record of its own."""
+    parts = []
+    if plan.has("with-filename") and not plan.has("no-filename") and not plan.has("heading"):
+        parts.append(F.concat(F.col(path), F.decode(F.unhex(F.lit("00")), "UTF-8") if plan.has("null") else F.lit(":")))
+    if plan.has("line-number") or plan.has("pretty"):
+        parts.append(F.concat(F.col("line_no").cast("string"), F.lit(":")))
+    rows = found.select(path, "line_no", F.concat(*parts, F.col("line")).alias("record"))
+    if plan.has("heading") or plan.has("pretty"):
+        rows = rows.unionByName(found.select(path).distinct().select(path, F.lit(0).alias("line_no"), F.col(path).alias("record")))
+    return rows
+
+
 def count_lines(docs: DataFrame, plan: Plan, key: list[str], text: str = "text") -> DataFrame:
     """-c: key, n; documents without a selected line only with --include-zero."""
     rows = selected(docs, plan, key, text).groupBy(*key).agg(F.count("*").alias("n"))

@@ -13,6 +13,7 @@ from siftwood.plans import find as find_plan
 from siftwood.plans import grep as grep_plan
 from siftwood.plans import search as search_plan
 from siftwood.plans import trigram
+from siftwood.plans.printf import compile_format
 from siftwood.sources import catalog
 from siftwood.streaming import feeds
 
@@ -23,15 +24,19 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 FILES = """files AS (
-  SELECT d.doc_id, '/corpus/' || source || '/' || lang || '/doc_' || d.doc_id || '.txt' AS path, 'doc_' || d.doc_id || '.txt' AS name, '/corpus/' || source || '/' || lang AS parent,
-         octet_length(encode(text))::BIGINT AS size, epoch_us(ts) // 1000000 AS mtime_s, ((epoch_us(ts) % 1000000) * 1000)::INT AS mtime_ns, user_id AS uid, user_id % 7 AS gid,
+  SELECT d.doc_id, '/corpus/' || source || '/' || lang || '/doc_' || d.doc_id || CASE WHEN d.doc_id % 5 = 0 THEN '.rs' ELSE '.txt' END AS path, 'doc_' || d.doc_id || CASE WHEN d.doc_id % 5 = 0 THEN '.rs' ELSE '.txt' END AS name, '/corpus/' || source || '/' || lang AS parent,
+         octet_length(encode(text))::BIGINT AS size, epoch_us(ts) // 1000000 + d.doc_id * 7 % 25 * 86400 AS mtime_s, ((epoch_us(ts) % 1000000) * 1000)::INT AS mtime_ns, user_id AS uid, user_id % 7 AS gid,
          (d.doc_id * 73) % 4096 AS mode, d.doc_id + 1000 AS ino, text, 3 AS depth, 'file' AS kind
   FROM documents d JOIN events e ON e.event_id = d.doc_id)"""
 TREE = FILES + """, entries AS (
-  SELECT path, name, depth, kind, size, NULL::BIGINT AS entries, mode FROM files
-  UNION ALL SELECT '/corpus', 'corpus', 0, 'dir', 4096, count(DISTINCT source), 493 FROM documents
-  UNION ALL SELECT '/corpus/' || source, source, 1, 'dir', 4096, count(*), 493 FROM documents GROUP BY source
-  UNION ALL SELECT '/corpus/' || source || '/' || lang, lang, 2, 'dir', 4096, count(*), 493 FROM documents GROUP BY source, lang)"""
+  SELECT path, name, depth, kind, size, NULL::BIGINT AS entries, mode, 1 AS dev, ino, 1 AS nlink, uid, NULL AS target, 'Hashed' AS state FROM files
+  UNION ALL SELECT '/corpus', 'corpus', 0, 'dir', 4096, count(DISTINCT source) + 1, 493, 1, -1, 2, 0, NULL, NULL FROM documents
+  UNION ALL SELECT '/corpus/' || source, source, 1, 'dir', 4096, count(DISTINCT lang), 493, 1, -1, 2, 0, NULL, NULL FROM documents GROUP BY source
+  UNION ALL SELECT '/corpus/' || source || '/' || lang, lang, 2, 'dir', 4096, count(*), 493, 1, -1, 2, 0, NULL, NULL FROM documents GROUP BY source, lang
+  UNION ALL SELECT '/corpus/extra', 'extra', 1, 'dir', 4096, count(*) - 2, 493, 1, 499, 2, 0, NULL, NULL FROM nation
+  UNION ALL SELECT '/corpus/extra/' || CASE WHEN n IN (21, 23) THEN 'x22/' ELSE '' END || 'x' || n, 'x' || n, CASE WHEN n IN (21, 23) THEN 3 ELSE 2 END, CASE n % 5 WHEN 0 THEN 'symlink' WHEN 2 THEN 'dir' WHEN 4 THEN CASE WHEN n < 10 THEN 'fifo' WHEN n < 15 THEN 'socket' WHEN n < 20 THEN 'block' ELSE 'character' END ELSE 'file' END,
+         CASE n % 5 WHEN 3 THEN 700 WHEN 2 THEN 4096 WHEN 0 THEN length(t) ELSE 0 END, CASE WHEN n = 22 THEN 2 WHEN n % 5 = 2 THEN 0 END, n * 73 % 4096, CASE WHEN n >= 20 THEN 2 ELSE 1 END, CASE n % 5 WHEN 3 THEN 900 + n // 20 ELSE 500 + n END, CASE WHEN n % 5 = 3 AND n < 20 THEN 4 ELSE 1 END, n + 1000000, t, 'Unindexed'
+  FROM (SELECT n_nationkey AS n, CASE n_nationkey WHEN 0 THEN '/corpus/src1' WHEN 5 THEN '/corpus/missing' WHEN 10 THEN '/corpus/src3/en' WHEN 15 THEN 'x15' WHEN 20 THEN 'x0' END AS t FROM nation))"""
 LINES = """lines AS (
   SELECT doc_id, unnest(generate_series(1, len(l)))::BIGINT AS line_no, unnest(l) AS line
   FROM (SELECT doc_id, CASE WHEN text = '' THEN [] WHEN ends_with(text, chr(10)) THEN string_split(text, chr(10))[1:-2] ELSE string_split(text, chr(10)) END AS l FROM documents))"""
@@ -68,7 +73,7 @@ def _search(name: str, args: list[str], where: str, **options) -> None:
 
 _search("name_substr", ["doc_12"], "contains(lower(name), 'doc_12')")
 _search("path_substr", ["src1/EN"], "contains(lower(path), 'src1/en')")
-_search("path_case", ["case:path:src1/EN"], "contains(path, 'src1/EN')")
+_search("path_case", ["case:path:src1/en"], "contains(path, 'src1/en')")
 _search("name_glob", ["doc_?[0-4]*.TXT"], r"regexp_matches(name, '^(?i:doc_[^/][0-4][^/]*\.txt)$')")
 _search("path_glob", ["src*/en/doc_*7.txt"], r"regexp_matches(path, '^(.*/)?src[^/]*/en/doc_[^/]*7\.txt$')")
 _search("path_glob_deep", ["/corpus/**/doc_1*"], r"regexp_matches(path, '^/corpus/([^/]+/)*doc_1[^/]*$')")
@@ -76,7 +81,7 @@ _search("name_regex", ["re:^doc_\\d{2}\\."], r"regexp_matches(name, '^doc_[0-9]{
 _search("ext", ["ext:txt", "NOT", "ext:rs"], "ends_with(lower(name), '.txt') AND NOT ends_with(lower(name), '.rs')")
 _search("name_term", ["name-term:doc_42"], "name = 'doc_42.txt'")
 _search("size_cmp", ["size:>2k", "size:<1m"], "size > 2048 AND size < 1048576")
-_search("mtime_age", ["mtime:<1y", "mtime:>4w"], f"({NOW} - mtime_s) < 31536000 AND ({NOW} - mtime_s) > 2419200")
+_search("mtime_age", ["mtime:<3w", "mtime:>5d"], f"({NOW} - mtime_s) < 1814400 AND ({NOW} - mtime_s) > 432000")
 _search("bool_kleene", ["(", "doc_1", "OR", "size:>5k", ")", "NOT", "path:/fr/", "text:the"], f"(contains(name, 'doc_1') OR size > 5120) AND NOT contains(path, '/fr/') AND {_term('the')}")
 _search("text_term", ["text:with"], f"{_term('with')}")
 _search("text_phrase", ["text:of the"], f"contains({LINE_TEXT}, ' of the ')")
@@ -137,26 +142,26 @@ _find("find_perm", ["-perm", "-222", "!", "-perm", "/111"], "(mode & 146) = 146
 _find("find_perm_symbolic", ["-perm", "-u+w,g+r"], "(mode & 160) = 160")
 _find("find_size_ceil", ["-size", "+3k", "-size", "-12"], "(size + 1023) // 1024 > 3 AND (size + 511) // 512 < 12")
 _find("find_size_bytes", ["-size", "-1000c"], "size < 1000")
-_find("find_mtime_floor", ["-mtime", "+30"], f"{AGE} // {DAY} > 30")
+_find("find_mtime_floor", ["-mtime", "+20"], f"{AGE} // {DAY} > 20")
 _find("find_mtime_fraction", ["-mtime", "-10.5"], f"{AGE}::DOUBLE / {DAY} < 10.5")
-_find("find_mmin_ceil", ["-mmin", "+40000"], f"-((-{AGE}) // {MINUTE}) > 40000 AND {AGE} > 0")
-_find("find_mmin_less", ["-mmin", "-40000"], f"{AGE} < 40000 * {MINUTE}")
+_find("find_mmin_ceil", ["-mmin", "+20000"], f"({AGE} + {MINUTE} - 1) // {MINUTE} > 20000")
+_find("find_mmin_less", ["-mmin", "-20000"], f"{AGE} < 20000 * {MINUTE}")
 _find("find_daystart", ["-daystart", "-mtime", "-20"], f"({NOW // 86400 * 86400 + 86400}::BIGINT * 1000000000 - (mtime_s * 1000000000 + mtime_ns)) // {DAY} < 20")
 _find("find_newer_date", ["-newermt", "2024-01-20 12:00"], "mtime_s * 1000000000 + mtime_ns > 1705752000000000000")
 _find("find_newer_relative", ["-newermt", "10 days ago"], f"mtime_s * 1000000000 + mtime_ns > ({NOW} - 864000)::BIGINT * 1000000000")
 _find("find_uid", ["-uid", "-50", "-o", "-gid", "3"], "uid < 50 OR gid = 3")
 _find("find_user", ["-user", "alice", "-o", "-group", "5"], "uid = 7 OR gid = 5", users={"alice": 7})
-_find("find_used", ["-used", "-1"], "TRUE")
+_find("find_used", ["-used", "-1"], "(1 + doc_id % 60) * 3600 < 86400")
 _find("find_links_inum", ["-links", "1", "-inum", "-1100"], "ino < 1100")
 _find("find_access", ["-readable", "!", "-executable"], "(mode & 292) <> 0 AND (mode & 73) = 0")
 _find("find_comma_not", ["(", "-false", ",", "-name", "doc_3*", ")", "-a", "!", "-size", "+4"], "regexp_matches(name, '^doc_3') AND (size + 511) // 512 <= 4")
-_find("find_type", ["-type", "d,l"], "kind = 'dir'", tree=True)
+_find("find_type", ["-type", "d,l"], "kind IN ('dir', 'symlink')", tree=True)
 _find("find_depth", ["-mindepth", "1", "-maxdepth", "2"], "depth BETWEEN 1 AND 2", tree=True)
 _find("find_prune", ["-path", "/corpus/src1", "-prune", "-o", "-type", "f", "-print"], "kind = 'file' AND NOT starts_with(path, '/corpus/src1/')", tree=True)
 _find("find_prune_name", ["(", "-name", "fr", "-o", "-name", "de", ")", "-prune", "-o", "-print"], "NOT regexp_matches(path, '/(fr|de)(/|$)')", tree=True)
 _find("find_empty", ["-empty"], "(kind = 'file' AND size = 0) OR (kind = 'dir' AND entries = 0)", tree=True)
 _find("find_start", ["/corpus/src2", "/corpus/src3/en", "-type", "f"], "kind = 'file' AND (starts_with(path, '/corpus/src2/') OR starts_with(path, '/corpus/src3/en/'))", tree=True)
-_find("find_xdev", ["/corpus", "-xdev", "-type", "f"], "kind = 'file'", tree=True)
+_find("find_xdev", ["/corpus", "-xdev", "-type", "f"], "kind = 'file' AND NOT starts_with(path, '/corpus/extra/x22/')", tree=True)
 
 
 @query("find_newer_ref", f"WITH {FILES} SELECT path FROM files WHERE mtime_s * 1000000000 + mtime_ns > (SELECT mtime_s * 1000000000 + mtime_ns FROM files WHERE doc_id = 5)")
@@ -174,9 +179,16 @@ def _find_samefile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_plan.paths(files, ["-samefile", ref.path], _context(references={ref.path: ref.asDict()}))
 
 
-@query("find_nouser", f"WITH {FILES} SELECT path FROM files WHERE uid NOT IN (SELECT c_custkey FROM customer)")
+@query("find_samefile_links", f"WITH {TREE} SELECT path FROM entries WHERE dev = 1 AND ino = 900")
+def _find_samefile_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = catalog.corpus_entries(spark, sf_dir)
+    ref = entries.filter("name = 'x3'").first()
+    return find_plan.paths(entries, ["-samefile", ref.path], _context(references={ref.path: ref.asDict()}))
+
+
+@query("find_nouser", f"WITH {FILES} SELECT path FROM files WHERE uid NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0)")
 def _find_nouser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
+    users = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 3 > 0").select("c_custkey", "c_name")
     return find_plan.paths(find_plan.with_names(catalog.corpus_files(spark, sf_dir), users), ["-nouser"], _context())
 
 
@@ -190,7 +202,7 @@ def _find_printf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_plan.find(catalog.corpus_files(spark, sf_dir), ["-printf", "%p|%f|%8s|%m|%-6U|%TY-%Tm-%Td %TH:%TM|%T@\\n"], _context()).select("record")
 
 
-@query("find_printf_path", f"WITH {TREE} SELECT substr(path, 9) || ' ' || parse_path(path)[-1] || ' ' || depth || ' ' || left(kind, 1) || ' /corpus' AS record FROM entries WHERE depth > 0")
+@query("find_printf_path", f"WITH {TREE} SELECT substr(path, 9) || ' ' || parse_path(path)[-1] || ' ' || depth || ' ' || CASE kind WHEN 'symlink' THEN 'l' WHEN 'fifo' THEN 'p' ELSE left(kind, 1) END || ' /corpus' AS record FROM entries WHERE depth > 0")
 def _find_printf_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_plan.find(catalog.corpus_entries(spark, sf_dir), ["/corpus", "-mindepth", "1", "-printf", "%P %f %d %y %H"], _context()).select("record")
 
@@ -200,7 +212,7 @@ def _find_ls_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_plan.find(catalog.corpus_files(spark, sf_dir), ["-printf", "%M"], _context()).select("path", "record")
 
 
-@query("find_ls")
+@query("find_ls", f"WITH {FILES} SELECT concat_ws(' ', lpad(ino::VARCHAR, 9, ' '), lpad(((size + 1023) // 1024)::VARCHAR, 6, ' '), '-' || " + " || ".join(f"CASE WHEN mode & {r} > 0 THEN 'r' ELSE '-' END || CASE WHEN mode & {w} > 0 THEN 'w' ELSE '-' END || CASE WHEN mode & {s} > 0 AND mode & {x} > 0 THEN '{low}' WHEN mode & {s} > 0 THEN '{low.upper()}' WHEN mode & {x} > 0 THEN 'x' ELSE '-' END" for r, w, x, s, low in ((256, 128, 64, 2048, "s"), (32, 16, 8, 1024, "s"), (4, 2, 1, 512, "t"))) + ", '  1', rpad(uid::VARCHAR, 8, ' '), rpad(gid::VARCHAR, 8, ' '), lpad(size::VARCHAR, greatest(8, length(size::VARCHAR))::INT, ' '), strftime(make_timestamp(mtime_s * 1000000), '%b ') || lpad(day(make_timestamp(mtime_s * 1000000))::VARCHAR, 2, ' ') || strftime(make_timestamp(mtime_s * 1000000), ' %H:%M'), path) || chr(10) AS record FROM files WHERE (size + 511) // 512 > 8")
 def _find_ls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_plan.find(catalog.corpus_files(spark, sf_dir), ["-size", "+8", "-ls"], _context()).select("record")
 
@@ -286,11 +298,192 @@ def _glob_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grep_plan.names(catalog.corpus_files(spark, sf_dir), grep_plan.parse(["--files", "-g", "doc_{1,2}*", "-g", "!/src3/**"]))
 
 
-@query("type_select", f"WITH {FILES} SELECT path FROM files")
+@query("type_select", f"WITH {FILES} SELECT path FROM files WHERE ends_with(name, '.txt')")
 def _type_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grep_plan.names(catalog.corpus_files(spark, sf_dir), grep_plan.parse(["--files", "-t", "txt", "-T", "rust"]))
 
 
+_SPECIAL = "kind = 'symlink'"
+
+
+def _tree_find(name: str, args: list[str], sql: str, followed: bool = False, mounts: bool = False, column: str = "path") -> None:
+    @query(name, f"WITH {TREE} {sql}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        entries = catalog.corpus_entries(spark, sf_dir)
+        if mounts:
+            entries = find_plan.with_names(entries, mounts=spark.createDataFrame([(1, "ext4"), (2, "tmpfs")], "dev long, name string"))
+        if followed:
+            entries = find_plan.with_followed(entries)
+        return find_plan.find(entries, args, _context()).select(column)
+
+
+_tree_find("find_xtype_dir", ["-xtype", "d"], "SELECT path FROM entries WHERE kind = 'dir' OR name IN ('x0', 'x10', 'x20')", followed=True)
+_tree_find("find_xtype_link", ["-xtype", "l"], "SELECT path FROM entries WHERE name IN ('x5', 'x15')", followed=True)
+_tree_find("find_lname", ["-lname", "/corpus/src*"], "SELECT path FROM entries WHERE kind = 'symlink' AND starts_with(target, '/corpus/src')")
+_tree_find("find_ilname", ["-ilname", "X*"], "SELECT path FROM entries WHERE kind = 'symlink' AND starts_with(target, 'x')")
+_tree_find("find_fstype", ["-fstype", "tmpfs"], "SELECT path FROM entries WHERE dev = 2", mounts=True)
+_tree_find("find_printf_links", ["-type", "l", "-printf", "%p %y %Y %l %F\\n"], "SELECT path || ' l ' || CASE name WHEN 'x5' THEN 'N' WHEN 'x15' THEN 'L' ELSE 'd' END || ' ' || target || CASE dev WHEN 1 THEN ' ext4' ELSE ' tmpfs' END || chr(10) AS record FROM entries WHERE kind = 'symlink'", followed=True, mounts=True, column="record")
+_tree_find("find_printf_numbers", ["-type", "f", "-printf", "%D %i %n %b %k %04m"], "SELECT dev || ' ' || ino || ' ' || nlink || ' ' || (size + 1023) // 1024 * 2 || ' ' || (size + 1023) // 1024 || ' ' || lpad(printf('%o', mode), 4, '0') AS record FROM entries WHERE kind = 'file'", column="record")
+_tree_find("find_special_types", ["-type", "p,s,b,c", "-print0"], "SELECT path || chr(0) AS record FROM entries WHERE kind IN ('fifo', 'socket', 'block', 'character')", column="record")
+_tree_find("find_no_operations", ["-noleaf", "-warn", "-ignore_readdir_race", "-name", "x1*"], "SELECT path FROM entries WHERE starts_with(name, 'x1')")
+_tree_find("find_links_count", ["-links", "+1", "-type", "f"], "SELECT path FROM entries WHERE nlink > 1 AND kind = 'file'")
+_find("find_dialect_grep", ["-regextype", "grep", "-regex", ".*/doc_\\(1\\|22\\)[0-9]*[.]rs"], "regexp_matches(path, '^.*/doc_(1|22)[0-9]*[.]rs$')")
+_find("find_dialect_awk", ["-regextype", "posix-awk", "-regex", ".*/doc_(1|22)[0-9]+[.]rs"], "regexp_matches(path, '^.*/doc_(1|22)[0-9]+[.]rs$')")
+_find("find_dialect_egrep", ["-regextype", "egrep", "-regex", ".*/(de|es)/doc_[0-9]+5?[.]txt"], "regexp_matches(path, '^.*/(de|es)/doc_[0-9]+5?[.]txt$')")
+_find("find_dialect_basic", ["-regextype", "posix-basic", "-regex", ".*/doc_[0-9]\\{2\\}[.]txt"], "regexp_matches(path, '^.*/doc_[0-9]{2}[.]txt$')")
+_find("find_regex_backreference", ["-regextype", "posix-extended", "-regex", ".*/doc_([0-9])[0-9]*\\1[.]txt"], "regexp_matches(name, '^doc_[0-9]{2,}[.]txt$') AND name[5:5] = regexp_extract(name, '([0-9])[.]txt$', 1)")
+
+
+@query("find_printf_times", f"WITH {FILES} SELECT strftime(t, '%a %b ') || lpad(day(t)::VARCHAR, 2, ' ') || strftime(t, ' %H:%M:%S.') || lpad(mtime_ns::VARCHAR, 9, '0') || '0' || strftime(t, ' %Y') || '|' || strftime(t, '%G-W%V-%u %j %U %W') AS record FROM (SELECT *, make_timestamp(mtime_s * 1000000) AS t FROM files)")
+def _find_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_plan.find(catalog.corpus_files(spark, sf_dir), ["-printf", "%t|%TG-W%TV-%Tu %Tj %TU %TW"], _context()).select("record")
+
+
+@query("find_quit_after_prints", f"WITH {FILES}, o AS (SELECT *, string_split(path, '/') AS k FROM files) SELECT path FROM o WHERE contains(name, '1') AND k <= (SELECT min(k) FROM o WHERE contains(name, '99') AND NOT contains(name, '1')) ORDER BY k")
+def _find_quit_later(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_plan.paths(catalog.corpus_files(spark, sf_dir), ["-name", "*1*", "-print", "-o", "-name", "*99*", "-quit"], _context())
+
+
+@query("find_execdir", f"WITH {FILES} SELECT parent, count(*) AS n, min('./' || name) AS first FROM files GROUP BY parent")
+def _find_execdir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_plan.find(catalog.corpus_files(spark, sf_dir), ["-execdir", "cat", "{}", "+"], _context())
+    rows = find_plan.exec_batches(found, ["cat", "{}"], 1 << 30, in_directory=True)
+    return rows.select("parent", F.size("arguments").cast("long").alias("n"), F.col("arguments")[0].alias("first"))
+
+
+@query("link_targets", f"WITH {TREE} SELECT path, CASE name WHEN 'x5' THEN NULL WHEN 'x15' THEN 'loop' ELSE 'dir' END AS follow_kind FROM entries WHERE kind = 'symlink'")
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_plan.with_followed(catalog.corpus_entries(spark, sf_dir)).filter("kind = 'symlink'").select("path", "follow_kind")
+
+
+@query("path_to_id", f"WITH {FILES} SELECT path, 1 AS dev, ino, doc_id FROM files WHERE doc_id % 9 = 0 UNION ALL SELECT '/corpus/none', NULL, NULL, NULL")
+def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = catalog.corpus_files(spark, sf_dir)
+    asked = files.filter("doc_id % 9 = 0").select("path").union(spark.createDataFrame([("/corpus/none",)], "path string"))
+    return catalog.ids_of(files, asked)
+
+
+@query("search_limit", f"WITH {FILES} {HIT} WHERE size > 2048 ORDER BY parent, name LIMIT 15")
+def _search_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_plan.search(catalog.corpus_files(spark, sf_dir), None, ["size:>2k"], NOW, limit=15)
+
+
+_BAD = [(["("], "missing-operand"), (["(", "a"], "unclosed-group"), (["a", ")"], "unopened-group"), (["size:x"], "bad-size"), (["mtime:3d"], "bad-age"), (["type:q"], "bad-type"), (["re:("], "bad-regex"), (["ext:"], "empty-value"), (["case:"], "empty-case"), (["a OR b"], "embedded-operator"), (["name-term:a b"], "bad-token"), (["text:--"], "no-token"), (["size:99999999999t"], "size-overflow"), (["ext:a/b"], "bad-extension")]
+
+
+@query("search_errors", "SELECT * FROM (VALUES " + ", ".join(f"('{' '.join(a)}', '{k}')" for a, k in _BAD) + ") AS t(query, kind)")
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kind(args: list[str]) -> str:
+        try:
+            search_plan.parse(args)
+        except search_plan.SearchError as e:
+            return e.kind
+        return "none"
+
+    return spark.createDataFrame([(" ".join(a), kind(a)) for a, _ in _BAD], "query string, kind string")
+
+
+_REFUSED = [("find", ["-context", "x"]), ("find", ["-files0-from", "x"]), ("find", ["-printf", "%Z"]), ("find", ["-regextype", "none", "-name", "x"]), ("grep", ["--pcre2", "x"]), ("grep", ["--pre", "x", "y"]), ("grep", ["--sort", "path", "x"]), ("grep", ["-z", "x"]), ("find", ["-name", "x"]), ("grep", ["x"])]
+
+
+@query("refused_arguments", "SELECT * FROM (VALUES " + ", ".join(f"('{lang}', '{' '.join(a)}', {'FALSE' if a[-1] == 'x' and len(a) < 3 and a[0] in ('-name', 'x') else 'TRUE'})" for lang, a in _REFUSED) + ") AS t(language, arguments, refused)")
+def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def refused(language: str, args: list[str]) -> bool:
+        try:
+            if language == "grep":
+                grep_plan.parse(args)
+            else:
+                find_plan.compile_expression(plan := find_plan.parse(args), _context())
+                for action in (x[1] for x in _nodes(plan.expression) if x[0] == "action" and x[1].kind == "printf"):
+                    compile_format(action.argument)
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(lang, " ".join(a), refused(lang, a)) for lang, a in _REFUSED], "language string, arguments string, refused boolean")
+
+
+def _nodes(node: tuple) -> list[tuple]:
+    return [node, *(n for x in node[1:] if isinstance(x, tuple) for n in _nodes(x))]
+
+
+# ── more of the line search ──
+
+
+@query("grep_quiet", f"WITH {LINES} SELECT count(*) FILTER (contains(line, 'tionst')) > 0 AS found, count(*) FILTER (contains(line, 'xylophonexylophone')) > 0 AS absent FROM lines")
+def _grep_quiet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ask = lambda p: grep_plan.exists(_docs(spark, sf_dir), grep_plan.parse(["-q", p]), ["doc_id"])
+    return spark.createDataFrame([(ask("tionst"), ask("xylophonexylophone"))], "found boolean, absent boolean")
+
+
+@query("grep_dotall", "SELECT doc_id, len(regexp_extract_all(text, '(?s)[.].The'))::BIGINT AS n FROM documents WHERE regexp_matches(text, '(?s)[.].The')")
+def _grep_dotall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = grep_plan.multiline(_docs(spark, sf_dir), grep_plan.parse(["-U", "--multiline-dotall", "[.].The"]))
+    return found.groupBy("doc_id").agg(F.sum("n_matches").alias("n"))
+
+
+def _with_nul(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document with a NUL behind its first 80 characters."""
+    cut = F.concat(F.substring("text", 1, 80), F.decode(F.unhex(F.lit("00")), "UTF-8"), F.expr("substring(text, 81)"))
+    return _docs(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 3 == 0, cut).otherwise(F.col("text")))
+
+
+@query("grep_binary", """SELECT doc_id, 'binary file matches (found "\\0" byte around offset ' || octet_length(encode(text[1:80])) || ')' AS message FROM documents WHERE doc_id % 3 = 0 AND regexp_matches(text[1:80], 'ing')""")
+def _grep_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grep_plan.binary_documents(_with_nul(spark, sf_dir), grep_plan.parse(["ing"]), ["doc_id"])
+
+
+_binary = lambda args, sql: query(f"grep_binary_{'text' if '-a' in args else 'lines'}", f"WITH {LINES} SELECT doc_id, count(*) AS n FROM lines WHERE contains(line, 'tionst'){sql} GROUP BY doc_id")(lambda spark, sf_dir: grep_plan.count_lines(_with_nul(spark, sf_dir), grep_plan.parse(args), ["doc_id"]))
+_binary(["-c", "tionst"], " AND doc_id % 3 <> 0")
+
+
+@query("sniff_binary", "SELECT doc_id, doc_id % 3 = 0 AS is_binary FROM documents")
+def _sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_nul(spark, sf_dir).select("doc_id", T.is_binary(F.encode("text", "UTF-8")).alias("is_binary"))
+
+
+@query("grep_bom", f"WITH {LINES} SELECT doc_id, line_no, line FROM lines WHERE regexp_matches(line, '^[A-Z][a-z]+ing') AND line_no = 1")
+def _grep_bom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).withColumn("text", F.concat(F.lit("\ufeff"), "text"))
+    return grep_plan.grep(docs, grep_plan.parse(["^[A-Z][a-z]+ing"]), ["doc_id"]).filter("line_no = 1")
+
+
+@query("grep_empty_matches", f"WITH {LINES} SELECT doc_id, sum(length(line) + 1)::BIGINT AS n FROM lines GROUP BY doc_id")
+def _grep_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grep_plan.count_matches(_docs(spark, sf_dir), grep_plan.parse(["--count-matches", "\\x02*"]), ["doc_id"])
+
+
+@query("grep_with_filename", f"WITH {FILES}, {LINES} SELECT path || ':' || line_no || ':' || line AS record FROM lines JOIN files USING (doc_id) WHERE contains(line, 'tionst')")
+def _grep_presented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = catalog.corpus_files(spark, sf_dir).select("doc_id", "path").join(_docs(spark, sf_dir), "doc_id")
+    plan = grep_plan.parse(["-H", "-n", "tionst"])
+    return grep_plan.presented(grep_plan.grep(docs, plan, ["path"]), plan).select("record")
+
+
+@query("grep_pattern_file", f"WITH {LINES} {PICK} regexp_matches(line, 'tionst|^Er')")
+def _grep_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = grep_plan.parse(["-f", "patterns"], {"patterns": ["tionst\r", "^Er"]}.get)
+    return grep_plan.grep(_docs(spark, sf_dir), plan, ["doc_id"]).select(*W_LINES)
+
+
+@query("grep_one_input", f"WITH {LINES} SELECT line_no, line FROM lines WHERE doc_id = 7 AND contains(line, 'e')")
+def _grep_stdin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # one input given by hand, as from a pipe
+    content = _docs(spark, sf_dir).filter("doc_id = 7").first().text
+    return grep_plan.grep(grep_plan.one_input(spark, content.encode()), grep_plan.parse(["e"]), ["path"]).select("line_no", "line")
+
+
+@query("files_depth", f"WITH {TREE} SELECT path FROM entries WHERE kind = 'file' AND depth <= 2")
+def _files_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grep_plan.names(catalog.corpus_entries(spark, sf_dir), grep_plan.parse(["--files", "--max-depth", "2"]))
+
+
+@query("required_literals", "SELECT * FROM (VALUES ('shing[a-z]*tion', 'shing'), ('^The (a|b) long word$', ' long word'), ('[0-9]+', ''), ('a+bcd?', 'bc')) AS t(pattern, literal)")
+def _required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patterns = ["shing[a-z]*tion", "^The (a|b) long word$", "[0-9]+", "a+bcd?"]
+    return spark.createDataFrame([(p, trigram.required_literal(p)) for p in patterns], "pattern string, literal string")
+
+
 # ── census ──
 
 
@@ -299,14 +492,14 @@ def _stats_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.kinds(catalog.corpus_entries(spark, sf_dir))
 
 
-@query("stats_inodes", f"WITH {TREE} SELECT count(*) FILTER (kind = 'file') AS files, 0::BIGINT AS symlinks, 0::BIGINT AS specials, count(*) FILTER (kind = 'dir') AS dirs FROM entries")
+@query("stats_inodes", f"WITH {TREE} SELECT count(*) FILTER (kind = 'file') AS files, count(*) FILTER (kind = 'symlink') AS symlinks, count(*) FILTER (kind IN ('fifo', 'socket', 'block', 'character')) AS specials, count(*) FILTER (kind = 'dir') AS dirs FROM entries")
 def _stats_inodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.inode_counts(catalog.corpus_entries(spark, sf_dir))
 
 
-@query("stats_states", f"WITH {FILES} SELECT 'Hashed' AS state, count(*) AS n, sum(size)::BIGINT AS bytes FROM files")
+@query("stats_states", f"WITH {TREE} SELECT state, count(*) AS n, sum(size)::BIGINT AS bytes FROM entries WHERE kind = 'file' GROUP BY state")
 def _stats_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.states(catalog.corpus_files(spark, sf_dir))
+    return stats.states(catalog.corpus_entries(spark, sf_dir))
 
 
 @query("stats_ext_top15", "SELECT lower(regexp_extract(u, '(?s)^.+\\.([^.]*)$', 1)) AS ext, count(*) AS files, sum(octet_length(encode(html)))::BIGINT AS bytes FROM (SELECT html, regexp_extract(url, '([^/]*)$', 1) AS u FROM pages) GROUP BY 1 ORDER BY files DESC, ext LIMIT 15")
@@ -422,6 +615,62 @@ def _trigram_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(few, "doc_id", "left_semi").filter(F.col("text").rlike("shing[a-z]*tion")).select("doc_id")
 
 
+@query("trigram_screened", "SELECT doc_id FROM documents WHERE regexp_matches(text, 'tion(st|re)[a-z]*ing')")
+def _trigram_screened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rarest keys only, then the regex."""
+    docs, pattern = _docs(spark, sf_dir), "tion(st|re)[a-z]*ing"
+    grams, asked = index.build(docs).grams, trigram.derive(pattern)
+    few = trigram.candidates(grams, trigram.weaken(asked, index.key_counts(grams, asked), rarest=2))
+    return docs.join(few, "doc_id", "left_semi").filter(F.col("text").rlike(pattern)).select("doc_id")
+
+
+@query("tokens_capped", "SELECT doc_id, repeat('é', 32) AS term FROM documents UNION ALL SELECT doc_id, doc_id::VARCHAR FROM documents")
+def _tokens_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).withColumn("text", F.concat(F.repeat(F.lit("é"), 40), F.col("doc_id").cast("string")))
+    return index.build(docs).postings.select("doc_id", "term")
+
+
+@query("tokens_without_blobs", f"WITH {_TOKENS} SELECT term, count(*) AS df FROM tokens WHERE term <> '' GROUP BY term")
+def _tokens_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" x9Kd8QzL2mVb7RtY4wPqS1nH==")))
+    return index.terms(index.build(docs, skip_blobs=True).postings)
+
+
+@query("normalized_tokens", "SELECT p_partkey, CASE WHEN regexp_matches(s, '^[\\p{L}\\p{N}_]+$') THEN lower(s) END AS token FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand ELSE string_split(p_name, ' ')[1] END AS s FROM part)")
+def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise(F.split("p_name", " ")[0])
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", T.normalized(text).alias("token"))
+
+
+def _census(name: str, make: Callable, where: str = "TRUE") -> None:
+    @query(name, f"WITH {_TOKENS} SELECT term, count(*) AS df FROM tokens WHERE term <> '' AND {where} GROUP BY term")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return index.terms(make(_docs(spark, sf_dir)).postings)
+
+
+_census("index_follow", lambda docs: index.follow(index.build(docs.filter("doc_id % 3 = 0")), docs))
+_census("index_purge", lambda docs: index.purge(index.build(docs), docs.filter("doc_id % 10 <> 7")), "doc_id % 10 <> 7")
+_census("index_merge", lambda docs: index.merge([index.build(docs.filter(f"doc_id % 4 in ({k}, 3)")) for k in range(3)], docs.filter("doc_id % 10 <> 7")), "doc_id % 10 <> 7")
+
+
+@query("dictionary_merge", f"WITH {_TOKENS} SELECT term, count(*)::BIGINT AS df FROM tokens WHERE term <> '' GROUP BY term")
+def _dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [index.terms(index.build(_docs(spark, sf_dir).filter(f"doc_id % 3 = {k}")).postings) for k in range(3)]
+    return index.merged_dictionary(parts)
+
+
+@query("index_uncovered", f"WITH {_TOKENS} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN TRUE END AS truth FROM documents WHERE doc_id % 2 = 1 OR {_IN.format('with')}")
+def _uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return index.answer(index.build(docs.filter("doc_id % 2 = 0")), search_plan.parse_atom("text:with"), docs.select("doc_id"))
+
+
+@query("postings_maybe", f"WITH {_TOKENS} SELECT count(*) AS n, count(*) FILTER (doc_id BETWEEN 20 AND 90) AS inside, 0::BIGINT AS sure FROM documents WHERE {_IN.format('with')}")
+def _maybe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = index.maybe(index.documents_with(index.build(_docs(spark, sf_dir)).postings, "with"))
+    return rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("doc_id").between(20, 90), 1)).alias("inside"), F.count("truth").alias("sure"))
+
+
 @query("part_name_tokens", "SELECT token, count(DISTINCT name) AS names FROM (SELECT p_name AS name, unnest(string_split(lower(p_name), ' ')) AS token FROM part) WHERE token <> '' GROUP BY token")
 def _part_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = index.name_terms(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("name")))
@@ -479,12 +728,70 @@ def _assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.assign_documents(hashed, live, live.limit(0), 1_000_000)
 
 
-@query("ignore_decisions", f"WITH {TREE} SELECT path, CASE WHEN regexp_matches(path, '/de/') AND NOT starts_with(path, '/corpus/src1/') THEN 'unvisited' WHEN regexp_matches(path, '/de/') AND NOT regexp_matches(name, '7[.]txt$') THEN 'skip' WHEN path = '/corpus/src1/de' THEN 'traverse' WHEN kind = 'dir' AND name = 'de' THEN 'skip' WHEN kind = 'dir' THEN 'descend' WHEN regexp_matches(name, '7[.]txt$') AND NOT starts_with(path, '/corpus/src1/') THEN 'skip' WHEN size > 4096 THEN 'too-large' ELSE 'index' END AS decision FROM entries WHERE depth > 0")
+@query("ignore_decisions", f"WITH {TREE} SELECT path, CASE WHEN regexp_matches(path, '/de/') AND NOT starts_with(path, '/corpus/src1/') THEN 'unvisited' WHEN regexp_matches(path, '/de/') AND NOT regexp_matches(name, '7[.]txt$') THEN 'skip' WHEN path = '/corpus/src1/de' THEN 'traverse' WHEN kind = 'dir' AND name = 'de' THEN 'skip' WHEN kind = 'dir' THEN 'descend' WHEN kind = 'symlink' THEN 'symlink' WHEN kind <> 'file' THEN 'special' WHEN regexp_matches(name, '7[.]txt$') AND NOT starts_with(path, '/corpus/src1/') THEN 'skip' WHEN size > 4096 THEN 'too-large' ELSE 'index' END AS decision FROM entries WHERE depth > 0")
 def _ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ignore.rules(spark, [("/corpus", ".gitignore", ["de/", "*7.txt"]), ("/corpus/src1", ".siftignore", ["!*7.txt"])], "/corpus")
     return ignore.decide(catalog.corpus_entries(spark, sf_dir).filter("depth > 0"), rows, 4096).select("path", "decision")
 
 
+@query("reconcile_inodes", f"WITH {FILES} SELECT 1 AS dev, ino, CASE doc_id % 10 WHEN 3 THEN 'insert' WHEN 7 THEN 'delete' WHEN 5 THEN 'update' ELSE 'unchanged' END AS kind FROM files")
+def _reconcile_inodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.diff_inodes(*_observed(spark, sf_dir))
+
+
+@query("rename_pairs", "SELECT a.event_id // 2 AS cookie, '/d' || a.user_id || '/' || a.event_type AS old_path, '/d' || b.user_id || '/' || b.event_type AS new_path FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.event_id % 2 = 0")
+def _renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return reconcile.rename_pairs(events.select(F.floor(F.col("event_id") / 2).alias("cookie"), F.when(F.col("event_id") % 2 == 0, "moved_from").otherwise("moved_to").alias("mask"), F.concat(F.lit("/d"), F.col("user_id").cast("string")).alias("dir"), F.col("event_type").alias("name")))
+
+
+@query("repositories", "SELECT s_nationkey AS common_dev, s_nationkey % 2 AS common_ino, count(*) AS n FROM supplier GROUP BY s_nationkey")
+def _repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("common_dev"), (F.col("s_nationkey") % 2).alias("common_ino"), F.col("s_name").alias("dir"))
+    return reconcile.repositories(trees).drop("dirs")
+
+
+@query("log_budgets", "SELECT count(*) AS records, 100.0 * count(DISTINCT user_id) / 1000 AS dirty_percent, 100.0 * count(*) FILTER (event_type = 'click') / 1000 AS dead_percent FROM events")
+def _budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir).withColumn("kind", F.when(F.col("kind") == "delete", "NameDelete").otherwise("NamePut"))
+    return stats.budgets(log, 1000)
+
+
+@query("batch_requests", "SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 'malformed' WHEN conv_id % 5 = 1 THEN 'unknown-op' END AS error, CASE WHEN conv_id % 5 <> 0 THEN role END AS first FROM conversations")
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    op = F.when(F.col("conv_id") % 5 == 1, "erase").otherwise("grep")
+    line = F.when(F.col("conv_id") % 5 == 0, "not json").otherwise(F.to_json(F.struct(F.col("turn").cast("string").alias("id"), op.alias("op"), F.array("role", "text").alias("args"))))
+    found = catalog.batch_requests(rows.select("conv_id", "turn", line.alias("value")), keep=["conv_id", "turn"])
+    return found.select("conv_id", "turn", "error", F.col("request.args")[0].alias("first"))
+
+
+@query("hash_sample", "SELECT doc_id FROM documents WHERE ('0x' || md5(doc_id::VARCHAR)[1:8])::BIGINT % 8 = 0")
+def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.sample(_docs(spark, sf_dir), "doc_id", 8).select("doc_id")
+
+
+@query("pretty_sizes", f"WITH {FILES} SELECT path, CASE WHEN size >= 1048576 THEN printf('%.1f', size / 1048576.0) || ' MiB' WHEN size >= 1024 THEN printf('%.1f', size / 1024.0) || ' KiB' ELSE size || ' B' END AS shown FROM files")
+def _pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.corpus_files(spark, sf_dir).select("path", stats.pretty_bytes(F.col("size")).alias("shown"))
+
+
+@query("bytes_json", "SELECT doc_id, coalesce(try(decode(b)), decode(b[1:19]) || chr(65533)) AS name, CASE WHEN try(decode(b)) IS NULL THEN base64(b) END AS name_base64 FROM (SELECT doc_id, encode(text)[1:20] AS b FROM documents)")
+def _bytes_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).select("doc_id", F.substring(F.encode("text", "UTF-8"), 1, 20).alias("b"))
+    return rows.select("doc_id", *T.bytes_fields(F.col("b"), "name"))
+
+
+_BAND = "CASE WHEN kind = 'dir' THEN 'descend' WHEN kind = 'symlink' THEN 'symlink' WHEN kind <> 'file' THEN 'special' WHEN name = 'doc_15.rs' THEN 'skip' WHEN ends_with(name, '5.rs') THEN 'index' WHEN ends_with(name, '.rs') THEN 'skip' ELSE 'index' END"
+
+
+@query("ignore_bands", f"WITH {TREE} SELECT path, {_BAND} AS decision FROM entries WHERE depth > 0")
+def _bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Higher bands decide over lower ones; the defaults exclude nothing here."""
+    rows = ignore.rules(spark, [("", "global", ignore.DEFAULTS), ("/corpus", ".gitignore", ["*.rs"]), ("/corpus", ".ignore", ["!*5.rs"]), ("/corpus", ".siftignore", ["doc_15.rs"])], "/corpus")
+    return ignore.decide(catalog.corpus_entries(spark, sf_dir).filter("depth > 0"), rows, 1 << 40).select("path", "decision")
+
+
 @query("stream_bursts")
 def _bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -507,7 +814,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_plan.search(catalog.corpus_files(spark, sf_dir), _docs(spark, sf_dir), ["text:the", "ext:txt", "size:>1k", "NOT", "name:doc_1"], NOW)
 
 
-query("flagship_search", f"WITH {FILES} {HIT} WHERE {_term('the')} AND size > 1024 AND NOT contains(name, 'doc_1')")(flagship)
+query("flagship_search", f"WITH {FILES} {HIT} WHERE {_term('the')} AND size > 1024 AND NOT contains(name, 'doc_1') AND ends_with(name, '.txt')")(flagship)
 
 
 def queries() -> dict[str, Query]:

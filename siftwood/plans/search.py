@@ -241,8 +241,17 @@ def search(entries: DataFrame, documents: DataFrame | None, args: list[str], now
         pattern = "(?m)" + content[0].value
         position = F.regexp_instr("text", F.lit(pattern))
         offset = F.when(position > 0, byte_offset(F.col("text"), position).cast("long"))
-    rows = rows.select("path", F.col("kind").alias("type"), "size", F.col("mtime_s").alias("mtime"), F.col("doc_id").alias("doc"), offset.alias("offset"))
-    return rows if limit is None else rows.limit(limit)
+    out = [F.col("path"), F.col("kind").alias("type"), F.col("size"), F.col("mtime_s").alias("mtime"), F.col("doc_id").alias("doc"), offset.alias("offset")]
+    if limit is not None:
+        # the first in name order; the planner keeps the best of each partition only
+        return rows.orderBy(*name_order()).limit(limit).select(*out)
+    return rows.select(*out)
+
+
+def name_order() -> list[Column]:
+    """Directories breadth-first, names by their bytes within."""
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    return [F.col("depth"), F.encode(parent, "UTF-8"), F.encode("name", "UTF-8")]
 
 
 def _with_content(rows: DataFrame, documents: DataFrame, atoms: list[Atom], truths: dict[Atom, DataFrame]) -> DataFrame:

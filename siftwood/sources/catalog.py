@@ -36,12 +36,13 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("doc_id"), "ts", "user_id")
     files = docs.join(events, "doc_id")
     parent = F.concat_ws("/", F.lit(ROOT), "source", "lang")
-    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, ".rs").otherwise(".txt"))
+    # the events of the documents lie within days; their files' ages spread over weeks
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.col("doc_id") * 7, F.lit(25)) * 86_400_000_000
     mtime, ns = F.floor(micros / 1_000_000).cast("long"), (F.pmod(micros, F.lit(1_000_000)) * 1000).cast("int")
     rows = files.select(
         F.concat_ws("/", parent, name).alias("path"), name.alias("name"), parent.alias("parent"), F.lit(ROOT).alias("root"), F.lit(3).alias("depth"), F.lit("file").alias("kind"), "size",
-        mtime.alias("mtime_s"), ns.alias("mtime_ns"), mtime.alias("ctime_s"), ns.alias("ctime_ns"), (mtime + 3600).alias("atime_s"), ns.alias("atime_ns"),
+        mtime.alias("mtime_s"), ns.alias("mtime_ns"), mtime.alias("ctime_s"), ns.alias("ctime_ns"), (mtime + 3600 * (1 + F.col("doc_id") % 60)).alias("atime_s"), ns.alias("atime_ns"),
         F.lit(1).alias("dev"), (F.col("doc_id") + 1000).alias("ino"), F.pmod(F.col("doc_id") * 73, F.lit(4096)).alias("mode"), F.col("user_id").alias("uid"), F.pmod("user_id", F.lit(7)).alias("gid"),
         F.lit(1).alias("nlink"), "doc_id", F.lit("Hashed").alias("state"),
     )
@@ -54,9 +55,42 @@ def corpus_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = docs.groupBy("source", "lang").agg(F.count("*").alias("entries"))
     level2 = leaves.select(F.concat_ws("/", F.lit(ROOT), "source", "lang").alias("path"), F.col("lang").alias("name"), F.concat_ws("/", F.lit(ROOT), "source").alias("parent"), F.lit(2).alias("depth"), "entries")
     level1 = leaves.groupBy("source").agg(F.count("*").alias("entries")).select(F.concat_ws("/", F.lit(ROOT), "source").alias("path"), F.col("source").alias("name"), F.lit(ROOT).alias("parent"), F.lit(1).alias("depth"), "entries")
-    level0 = leaves.agg(F.count_distinct("source").alias("entries")).select(F.lit(ROOT).alias("path"), F.lit("corpus").alias("name"), F.lit("/").alias("parent"), F.lit(0).alias("depth"), "entries")
+    level0 = leaves.agg((F.count_distinct("source") + 1).alias("entries")).select(F.lit(ROOT).alias("path"), F.lit("corpus").alias("name"), F.lit("/").alias("parent"), F.lit(0).alias("depth"), "entries")
     dirs = level0.union(level1).union(level2).withColumns({"root": F.lit(ROOT), "kind": F.lit("dir"), "size": F.lit(4096), "mode": F.lit(0o755), "dev": F.lit(1), "nlink": F.lit(2), "uid": F.lit(0), "gid": F.lit(0), "ino": F.pmod(F.xxhash64("path"), F.lit(1 << 40)) + F.lit(1 << 41), "mtime_s": F.lit(1_700_000_000), "mtime_ns": F.lit(0), "ctime_s": F.lit(1_700_000_000), "ctime_ns": F.lit(0), "atime_s": F.lit(1_700_000_000), "atime_ns": F.lit(0)})
-    return corpus_files(spark, sf_dir).unionByName(_complete(dirs))
+    return corpus_files(spark, sf_dir).unionByName(_complete(dirs)).unionByName(_special_entries(spark, sf_dir))
+
+
+#: What the special entry of a nation links to: a directory, nothing, a directory, itself, another link.
+TARGETS = {0: f"{ROOT}/src1", 5: f"{ROOT}/missing", 10: f"{ROOT}/src3/en", 15: "x15", 20: "x0"}
+
+
+def _special_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A directory of entries that are no documents, one for each nation: links, empty
+    files, empty directories, names of one inode and devices; the last five lie on
+    another device, and their owners are unknown."""
+    n = F.col("n_nationkey").cast("long")
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(n.alias("n"))
+    which, n = F.col("n") % 5, F.col("n")
+    kind = F.when(which == 0, "symlink").when(which == 2, "dir").when(which == 4, F.when(n < 10, "fifo").when(n < 15, "socket").when(n < 20, "block").otherwise("character")).otherwise("file")
+    target = F.lit(None).cast("string")
+    for k, text in TARGETS.items():
+        target = F.when(n == k, text).otherwise(target)
+    name = F.concat(F.lit("x"), n.cast("string"))
+    inner = n.isin(21, 23)
+    parent = F.when(inner, f"{ROOT}/extra/x22").otherwise(f"{ROOT}/extra")
+    stamps = {f"{x}time_{u}": F.lit(1_700_000_000 if u == "s" else 0) for x in "mca" for u in ("s", "ns")}
+    rows = nations.select(
+        F.concat_ws("/", parent, name).alias("path"), name.alias("name"), parent.alias("parent"), F.when(inner, 3).otherwise(2).alias("depth"), kind.alias("kind"), F.when(which == 3, 700).when(which == 2, 4096).when(which == 0, F.octet_length(target)).otherwise(0).alias("size"),
+        F.when(n == 22, 2).when(which == 2, 0).alias("entries"), F.pmod(n * 73, F.lit(4096)).alias("mode"), F.when(n >= 20, 2).otherwise(1).alias("dev"), F.when(which == 3, 900 + F.floor(n / 20)).otherwise(500 + n).alias("ino"), F.when(which == 3, F.when(n >= 20, 1).otherwise(4)).otherwise(1).alias("nlink"),
+        (n + 1_000_000).alias("uid"), F.pmod(n, F.lit(7)).alias("gid"), target.alias("target"), F.lit("Unindexed").alias("state"),
+    )
+    top = nations.filter("n not in (21, 23)").agg(F.count("*").alias("entries")).select(F.lit(f"{ROOT}/extra").alias("path"), F.lit("extra").alias("name"), F.lit(ROOT).alias("parent"), F.lit(1).alias("depth"), F.lit("dir").alias("kind"), F.lit(4096).alias("size"), "entries", F.lit(0o755).alias("mode"), F.lit(1).alias("dev"), F.lit(499).alias("ino"), F.lit(2).alias("nlink"), F.lit(0).alias("uid"), F.lit(0).alias("gid"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("state"))
+    return _complete(rows.unionByName(top).withColumns({"root": F.lit(ROOT), **stamps}))
+
+
+def ids_of(entries: DataFrame, paths: DataFrame) -> DataFrame:
+    """path, dev, ino, doc_id of the asked paths (path); unknown ones have nulls."""
+    return paths.select("path").join(entries.select("path", "dev", "ino", "doc_id"), "path", "left")
 
 
 def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,10 +218,10 @@ def identities(spark: SparkSession, lines: list[str], key: int = 2) -> DataFrame
     return spark.createDataFrame(sorted(seen.items()), "id long, name string")
 
 
-def batch_requests(lines: DataFrame, column: str = "value") -> DataFrame:
+def batch_requests(lines: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
     """JSON-lines requests with an explicit schema; ``error`` tells what is wrong."""
     schema = "id string, op string, args array<string>, cwd string, limit long, capabilities array<string>, child_stdin string, start_unix_ns long"
     parsed = F.from_json(column, schema)
     known = ["search", "find", "grep", "status", "reload", "index", "roots-remove"]
     error = F.when(F.octet_length(column) > 1 << 20, "too-long").when(parsed.isNull() | parsed["op"].isNull(), "malformed").when(~parsed["op"].isin(known), "unknown-op").when(F.size(parsed["args"]) > 16384, "too-many-args")
-    return lines.select(parsed.alias("request"), error.alias("error"))
+    return lines.select(*(keep or []), parsed.alias("request"), error.alias("error"))

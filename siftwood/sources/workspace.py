@@ -22,9 +22,11 @@ class Workspace:
     @staticmethod
     def create(spark: SparkSession, entries: DataFrame, documents: DataFrame, folder: str) -> Workspace:
         entries.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/entries")
-        documents.select("doc_id", "text").write.mode("overwrite").parquet(f"{folder}/documents")
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        # few input files would leave the analysis to few tasks
+        documents.select("doc_id", "text").repartition(parts, "doc_id").write.mode("overwrite").parquet(f"{folder}/documents")
         space = Workspace(spark, folder)
-        build(space.documents).write(f"{folder}/index", max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        build(space.documents).write(f"{folder}/index", parts)
         return space
 
     @property

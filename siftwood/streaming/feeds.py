@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -37,15 +39,37 @@ def fold_bursts(events: list[tuple[int, str]]) -> list[tuple[int, int, list[str]
     return done
 
 
-def bursts(events: DataFrame) -> DataFrame:
-    """The same over a table (root, ms, scope). Events of a root meet in one task only a
-    part at a time: gaps of the quiet time always part bursts, so sessions by gap come
-    first, and only a session is folded."""
+#: Events of one root are looked at in stretches of so many milliseconds.
+STRETCH_MS = 60_000
+
+
+def sessions(events: DataFrame) -> DataFrame:
+    """The events (root, ms, scope) with session: the first event's time of the run without
+    a quiet gap that they are in. Gaps are found inside stretches of time; what a stretch
+    leaves open is settled by one row for each stretch of a root."""
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("root").orderBy("ms")
-    new = F.coalesce(F.col("ms") - F.lag("ms").over(w) >= QUIET_MS, F.lit(True))
-    rows = events.withColumn("session", F.sum(new.cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = events.withColumn("stretch", F.floor(F.col("ms") / STRETCH_MS))
+    ends = rows.groupBy("root", "stretch").agg(F.max("ms").alias("last"))
+    line = W.partitionBy("root").orderBy("stretch")
+    ends = ends.withColumn("before", F.lag("last").over(line))
+    rows = rows.join(ends.select("root", "stretch", "before"), ["root", "stretch"])
+    inside = W.partitionBy("root", "stretch").orderBy("ms")
+    gap = F.col("ms") - F.coalesce(F.lag("ms").over(inside), F.col("before"))
+    rows = rows.withColumn("start", F.when(gap.isNull() | (gap >= QUIET_MS), F.col("ms")))
+    rows = rows.withColumn("session", F.last("start", True).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    # a stretch that begins inside a session goes on with the last start before it
+    starts = rows.groupBy("root", "stretch").agg(F.max("start").alias("latest"))
+    carried = F.last("latest", True).over(line.rowsBetween(W.unboundedPreceding, -1))
+    starts = starts.withColumn("carried", carried)
+    rows = rows.join(starts.select("root", "stretch", "carried"), ["root", "stretch"])
+    return rows.select("root", "ms", "scope", F.coalesce("session", "carried").alias("session"))
+
+
+def bursts(events: DataFrame) -> DataFrame:
+    """The same over a table (root, ms, scope). Gaps of the quiet time always part bursts, so
+    sessions by gap come first, and only a session is folded in one task."""
+    rows = sessions(events)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ms", "scope"])
@@ -96,8 +120,8 @@ def follow_index(docs: DataFrame, folder: str, checkpoint: str):
         try:
             covered = spark.read.parquet(f"{folder}/coverage").select("doc_id")
             batch = batch.join(covered, "doc_id", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
         fresh = index.build(batch)
         for name in ("postings", "grams", "coverage"):
@@ -108,17 +132,16 @@ def follow_index(docs: DataFrame, folder: str, checkpoint: str):
 
 def replay_log(log: DataFrame, folder: str, checkpoint: str, key: str = "id", seq: str = "seq"):
     """Keep the latest record of each key of a log stream as a table of versions."""
-    from siftwood.operators.reconcile import latest
+    from siftwood.operators.reconcile import latest, publish, published
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            version = spark.read.json(f"{folder}/current").first().version
-            batch = batch.unionByName(spark.read.parquet(f"{folder}/{version}"))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        latest(batch, key, seq).write.mode("overwrite").parquet(f"{folder}/v{number}")
-        spark.createDataFrame([(f"v{number}",)], "version string").coalesce(1).write.mode("overwrite").json(f"{folder}/current")
+        last = published(spark, folder)
+        if last is not None:
+            batch = batch.unionByName(spark.read.parquet(f"{folder}/{last.version}"))
+        # a batch that runs again after a crash writes beside what it left
+        version = f"v{number}-{uuid.uuid4().hex}"
+        latest(batch, key, seq).write.parquet(f"{folder}/{version}")
+        publish(spark, folder, version)
 
     return refresh(log, apply, checkpoint)
