@@ -89,13 +89,16 @@ def _blocks(ids: DataFrame) -> tuple[Column, int]:
     found = ids.agg(F.count("*").alias("n"), F.percentile_approx("__id", marks, 20_000).alias("q"), F.max("__id").alias("top")).first()
     edges = sorted({*(found.q or [0])})
     sub = min(SUB_BLOCKS, max(1, math.ceil(found.n / (SEGMENTS * BLOCK_ROWS))))
-    number = F.lit(0)
-    for k, low in enumerate(edges):
-        high = edges[k + 1] if k + 1 < len(edges) else (found.top or 0) + 1
-        share = (F.col("__id").cast("double") - low) / max(1.0, float(high) - low) * sub
-        within = F.greatest(F.lit(0), F.least(F.lit(sub - 1), F.floor(share).cast("int")))
-        number = within if k == 0 else F.when(F.col("__id") >= low, k * sub + within).otherwise(number)
-    return number, len(edges) * sub
+    low = F.array(*[F.lit(e) for e in edges])
+    high = F.array(*[F.lit(float(e)) for e in [*edges[1:], (found.top or 0) + 1]])
+    own = F.greatest(F.size(F.filter(low, lambda e: e <= F.col("__id"))), F.lit(1))
+
+    def number(k: Column) -> Column:
+        begin = F.element_at(low, k).cast("double")
+        share = (F.col("__id").cast("double") - begin) / F.greatest(F.element_at(high, k) - begin, F.lit(1.0)) * sub
+        return (k - 1) * sub + F.greatest(F.lit(0), F.least(F.lit(sub - 1), F.floor(share).cast("int")))
+
+    return let(own, number), len(edges) * sub
 
 
 def with_next(df: DataFrame, id_col: str, columns: list[str], order: list[str], then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
