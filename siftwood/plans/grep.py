@@ -512,6 +512,13 @@ TYPES = {
     "man": "1 2 3 4 5 6 7 8", "markdown": "md markdown mdx mkd", "matlab": "m", "md": "md markdown mdx mkd", "nim": "nim nims nimble", "nix": "nix", "objc": "m h", "ocaml": "ml mli mll mly", "org": "org org_archive", "pascal": "pas pp lpr inc dpr", "pdf": "pdf", "perl": "pl pm t perl plx",
     "php": "php php3 php4 php5 phtml", "prolog": "pl pro prolog P", "protobuf": "proto", "puppet": "epp erb pp rb", "purs": "purs", "py": "py pyi", "r": "r R Rmd Rnw", "racket": "rkt", "rst": "rst", "ruby": "rb rbw gemspec Gemfile Rakefile", "rust": "rs", "sass": "sass scss", "scala": "scala sbt",
     "sh": "sh bash zsh ksh csh tcsh", "sql": "sql psql", "svelte": "svelte", "svg": "svg", "swift": "swift", "systemd": "service socket timer target mount", "tcl": "tcl", "tex": "tex ltx cls sty bib dtx ins", "tf": "tf tfvars", "toml": "toml Cargo.lock", "ts": "ts tsx cts mts", "txt": "txt",
+    "agda": "agda lagda", "alloy": "als", "amake": "bp mk", "asciidoc": "adoc asc asciidoc", "ats": "ats dats sats hats", "avro": "avdl avpr avsc", "bat": "bat", "batch": "bat", "bitbake": "bb bbappend bbclass conf inc", "boxlang": "bx bxm bxs", "brotli": "br", "buildstream": "bst",
+    "bzip2": "bz2 tbz2", "cabal": "cabal", "candid": "did", "carp": "carp", "cbor": "cbor", "ceylon": "ceylon", "cfml": "cfc cfm", "cml": "cml", "coffeescript": "coffee", "coq": "v", "creole": "creole", "csharp": "cs", "cshtml": "cshtml", "csproj": "csproj", "devicetree": "dts dtsi", "dhall": "dhall",
+    "dita": "dita ditamap ditaval", "dts": "dts dtsi", "dvc": "Dvcfile dvc", "ebuild": "ebuild eclass", "edn": "edn", "erb": "erb", "fennel": "fnl", "fidl": "fidl", "flatbuffers": "fbs", "gap": "g gap gi gd tst", "gdscript": "gd", "gleam": "gleam", "gprbuild": "gpr", "gzip": "gz tgz", "haml": "haml", "hare": "ha",
+    "hbs": "hbs", "hs": "hs lhs", "hy": "hy", "idris": "idr lidr", "janet": "janet", "jinja": "j2 jinja jinja2", "jl": "jl", "k": "k", "lean": "lean", "lilypond": "ly ily", "llvm": "ll", "lock": "lock", "lz4": "lz4", "lzma": "lzma", "m4": "ac m4", "mako": "mako mao", "meson": "meson.build meson_options.txt", "minified": "min.html min.css min.js",
+    "mint": "mint", "mk": "mkfile", "ml": "ml", "motoko": "mo", "msbuild": "csproj fsproj vcxproj proj props targets sln", "objcpp": "h mm", "pdl": "pdl", "pod": "pod", "postscript": "eps ps", "prql": "prql", "ps": "cdxml ps1 ps1xml psd1 psm1", "puppet5": "epp pp", "purescript": "purs", "python": "py pyi", "qmake": "pro pri prf", "qml": "qml", "qrc": "qrc", "qui": "ui",
+    "raku": "raku rakumod rakudoc rakutest p6 pl6 pm6", "rdoc": "rdoc", "reasonml": "re rei", "red": "r red reds", "rescript": "res resi", "robot": "robot", "seed7": "sd7 s7i", "slim": "skim slim slime", "smarty": "tpl", "sml": "sml sig", "solidity": "sol", "soy": "soy", "spark": "spark", "spec": "spec", "stylus": "styl", "sv": "v vg sv svh h", "swig": "def i", "taskpaper": "taskpaper",
+    "texinfo": "texi", "textile": "textile", "thrift": "thrift", "twig": "twig", "typoscript": "typoscript ts", "typst": "typ", "usd": "usd usda usdc", "vb": "vb", "vcl": "vcl", "vimscript": "vim vimrc", "vue3": "vue", "webidl": "idl webidl widl", "wgsl": "wgsl", "wiki": "mediawiki wiki", "xz": "xz txz", "yacc": "y", "yang": "yang", "z": "Z", "zeek": "bro zeek", "zstd": "zst zstd", "container": "Containerfile Dockerfile", "csv2": "csv tsv", "nginx": "nginx nginxconf", "license": "COPYING LICENSE LICENCE NOTICE UNLICENSE", "readme": "README README.md README.txt", "just": "justfile Justfile just", "jsonnet": "jsonnet libsonnet", "terraform": "tf tfvars", "tt": "tt ttml", "ultisnips": "snippets", "aidl": "aidl", "asp": "aspx ascx asp", "astro": "astro", "c++": "cpp hpp cc hh", "d2": "d2", "graphviz": "dot gv", "groff": "me mm ms", "lhs": "lhs", "mermaid": "mmd mermaid", "nasm": "nasm", "odin": "odin", "pony": "pony", "rmd": "Rmd", "sass2": "sass", "roc": "roc", "uiua": "ua", "cairo": "cairo", "move": "move", "cue": "cue", "nu": "nu", "ex": "ex exs", "bicep": "bicep", "tsx": "tsx", "jsx": "jsx", "tsv": "tsv", "parquet": "parquet", "plist": "plist", "po": "po pot", "proto": "proto", "properties": "properties", "ini": "ini cfg", "env": "env", "diff2": "patch", "gitignore": "gitignore", "dockerignore": "dockerignore", "ipynb": "ipynb",
     "typescript": "ts tsx cts mts", "v": "v vsh", "vala": "vala", "verilog": "v vh sv svh", "vhdl": "vhd vhdl", "vim": "vim vimrc", "vue": "vue", "xml": "xml xsl xslt xsd dtd rng sch xhtml", "yaml": "yaml yml", "zig": "zig", "zsh": "zsh zshrc zshenv zprofile",
 }
 

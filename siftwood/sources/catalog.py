@@ -152,28 +152,37 @@ def _entry(path: str, root: str, depth: int) -> tuple | None:
 
 
 class _TreeReader(DataSourceReader):
-    """Walks a directory tree; each subtree of the root is a partition of its own."""
+    """Walks a directory tree in WALKERS partitions or more: the driver opens directories,
+    breadth-first and at most OPENED of them, until there are enough subtrees."""
+
+    WALKERS, OPENED = 256, 1024
 
     def __init__(self, options) -> None:
         self.root = options["path"].rstrip("/") or "/"
 
     def partitions(self) -> list[InputPartition]:
-        names = sorted(os.listdir(self.root)) if os.path.isdir(self.root) else []
-        return [InputPartition(None), *(InputPartition(n) for n in names)]
+        opened, waiting, at = [], [(self.root, 0)], 0
+        while at < len(waiting) and len(waiting) - at < self.WALKERS and len(opened) < self.OPENED:
+            path, depth = waiting[at]
+            at += 1
+            opened.append((path, depth))
+            if os.path.isdir(path) and not os.path.islink(path):
+                try:
+                    waiting += [(os.path.join(path, n), depth + 1) for n in sorted(os.listdir(path))]
+                except OSError:
+                    continue
+        return [InputPartition((False, opened)), *(InputPartition((True, [x])) for x in waiting[at:])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.value is None:
-            if (row := _entry(self.root, self.root, 0)) is not None:
-                yield row
-            return
-        stack = [(os.path.join(self.root, partition.value), 1)]
+        deep, stack = partition.value
+        stack = list(stack)
         while stack:
             path, depth = stack.pop()
             row = _entry(path, self.root, depth)
             if row is None:
                 continue
             yield row
-            if row[5] == "dir":
+            if deep and row[5] == "dir":
                 try:
                     stack += [(os.path.join(path, n), depth + 1) for n in sorted(os.listdir(path), reverse=True)]
                 except OSError:
@@ -208,6 +217,41 @@ def read_contents(spark: SparkSession, path: str, cap: int = 8 << 20) -> DataFra
     return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content", is_binary(F.col("content")).alias("binary"))
 
 
+def read_documents(entries: DataFrame, contents: DataFrame, after: DataFrame) -> DataFrame:
+    """path, dev, ino, content, state of regular files: ``entries`` were observed before
+    their contents (path, content, binary) were read, ``after`` behind that. A file whose
+    size or times changed in between, or that is gone, is a Fault without content."""
+    stat = ["dev", "ino", "size", "mtime_s", "mtime_ns", "ctime_s", "ctime_ns"]
+    rows = entries.filter("kind = 'file'").select("path", F.struct(*stat).alias("__was"))
+    rows = rows.join(after.select("path", F.struct(*stat).alias("__is")), "path", "left").join(contents, "path", "left")
+    whole = (F.col("__was") == F.col("__is")) & (F.octet_length("content") == F.col("__was.size"))
+    state = F.when(~F.coalesce(whole, F.lit(False)), "Fault").when(F.col("binary"), "Binary").otherwise("Hashed")
+    return rows.select("path", "__was.dev", "__was.ino", F.when(state != "Fault", F.col("content")).alias("content"), state.alias("state"))
+
+
+def log_query(spark: SparkSession, folder: str, entry: dict) -> bool:
+    """Append one record to the query log (JSON lines); a log that can't be written is no
+    reason for a query to fail."""
+    import json
+
+    try:
+        spark.createDataFrame([(json.dumps(entry, sort_keys=True),)], "value string").coalesce(1).write.mode("append").text(folder)
+    except Exception:  # noqa: BLE001
+        return False
+    return True
+
+
+EVENT = "id string, seq long, event string, row string, status int"
+
+
+def batch_events(request_id: str, rows: DataFrame, status: int = 0) -> DataFrame:
+    """begin, one row event for each row (as JSON), and end with the status, in seq order."""
+    spark = rows.sparkSession
+    body = rows.select(F.lit(request_id).alias("id"), (F.monotonically_increasing_id() + 1).alias("seq"), F.lit("row").alias("event"), F.to_json(F.struct(*rows.columns)).alias("row"), F.lit(None).cast("int").alias("status"))
+    ends = spark.createDataFrame([(request_id, 0, "begin", None, None), (request_id, 2**63 - 1, "end", None, status)], EVENT)
+    return body.unionByName(ends)
+
+
 def identities(spark: SparkSession, lines: list[str], key: int = 2) -> DataFrame:
     """id, name from passwd or group lines, the first line of an id wins."""
     seen: dict[int, str] = {}
