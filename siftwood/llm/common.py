@@ -49,5 +49,12 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under column names of its own, which no helper column clashes with, and the
+    new name of each old one."""
+    names = [f"__c{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwood.llm.common import checkpoint, text_or_empty
+from siftwood.llm.common import checkpoint, renamed, text_or_empty
 
 DOMAINS = {"web": 5, "books": 3, "code": 2, "other": 1}
 LANGS = {"en": 6, "de": 2, "fr": 2, "es": 1}
@@ -97,13 +97,18 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that take part, with domain, n_tokens, copies, extra_tokens and
-    tokens. Rows with one id and text share the first one's place."""
-    check = F.xxhash64(text_or_empty(F.col(text_col)))
-    chosen = plan(df.withColumn("__check", check), id_col, text_col, extra=("__check",), **options).filter("tokens > 0")
-    chosen = chosen.dropDuplicates(["doc_id", "__check"]).select(F.col("doc_id").alias("__id"), "__check", "domain", "n_tokens", "copies", "extra_tokens", "tokens")
-    rows = df.withColumn("__own", check)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__check"))
-    return rows.join(chosen.hint("shuffle_hash"), same).drop("__own", "__id", "__check")
+    tokens, which replace columns of these names. Rows with one id and text share the
+    first one's place."""
+    added = ["domain", "n_tokens", "copies", "extra_tokens", "tokens"]
+    df = df.drop(*added)
+    plain, names = renamed(df)
+    check = F.xxhash64(text_or_empty(F.col(names[text_col])))
+    wanted = plain.select(F.col(names[id_col]).alias("doc_id"), F.col(names[text_col]).alias("text"), F.col(names["lang"]).alias("lang"), F.col(names["source"]).alias("source"), check.alias("__check"))
+    chosen = plan(wanted, extra=("__check",), **options).filter("tokens > 0")
+    chosen = chosen.dropDuplicates(["doc_id", "__check"]).select(F.col("doc_id").alias("__id"), "__check", *added)
+    rows = plain.withColumn("__own", check)
+    same = F.col(names[id_col]).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__check"))
+    return rows.join(chosen.hint("shuffle_hash"), same).select(*plain.columns, *added).toDF(*df.columns, *added)
 
 
 def _sql_pour(source: str, parents: str, child: str) -> str:

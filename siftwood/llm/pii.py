@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwood.llm.common import checkpoint, text_or_empty
+from siftwood.llm.common import checkpoint, renamed, text_or_empty
 from siftwood.llm.spans import apart, joined, let, masked, matches, matches_between, overlapping, tagged
 
 KINDS = ("email", "ip", "card", "phone")
@@ -139,15 +139,17 @@ def mask(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFram
     Spans are joined back by key and the text's hash, so rows of one key with
     different texts keep their own.
     """
+    plain, names = renamed(df)
+    key, text_col = names[key], names[text_col]
     check = F.xxhash64(text_or_empty(F.col(text_col)))
-    found = find(df.withColumn("__check", check).withColumn("__key", F.col(key)), ["__key", "__check"], text_col)
+    found = find(plain.select(F.col(key).alias("__key"), check.alias("__check"), text_col), ["__key", "__check"], text_col)
     found = found.filter((F.size("base") > 0) | (F.size("context") > 0)).dropDuplicates(["__key", "__check"])
     found = found.select("__key", "__check", F.concat("base", "context").alias("__spans"))
-    rows = df.withColumn("__own", check)
+    rows = plain.withColumn("__own", check)
     same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__check"))
     out = rows.join(found.hint("shuffle_hash"), same, "left")
     text = F.when(F.col("__spans").isNotNull(), masked(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in df.columns])
+    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in plain.columns]).toDF(*df.columns)
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
