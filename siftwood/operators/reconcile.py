@@ -73,8 +73,8 @@ def diff_inodes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def change_records(old: DataFrame, new: DataFrame, covered: DataFrame | None = None) -> DataFrame:
-    """NamePut, NameDelete, InodePut and LinkPut records (kind, key, payload), in no order (a
-    writer sorts what it stores); a link's record comes only where its target changed."""
+    """NamePut, NameDelete, InodePut and LinkPut records (kind, key, payload), sorted by a
+    fixed key (a range-partitioned sort); a link's record comes only where its target changed."""
     edges = diff(old, new, covered)
     path = F.concat("parent", F.lit("/"), "name")
     names = edges.filter("kind in ('insert', 'delete')").select(F.when(F.col("kind") == "insert", "NamePut").otherwise("NameDelete").alias("kind"), path.alias("key"), F.lit(None).cast("string").alias("payload"))
@@ -82,7 +82,7 @@ def change_records(old: DataFrame, new: DataFrame, covered: DataFrame | None = N
     inodes = fresh.select(F.lit("InodePut").alias("kind"), F.concat_ws(":", "dev", "ino").alias("key"), F.to_json(F.struct(*[c for c in STAT if c in new.columns])).alias("payload")).distinct()
     links = new.filter("kind = 'symlink'").join(old.filter("kind = 'symlink'").select("parent", "name", F.col("target").alias("__was")), ["parent", "name"], "left")
     links = links.filter(~F.col("target").eqNullSafe(F.col("__was"))).select(F.lit("LinkPut").alias("kind"), path.alias("key"), F.col("target").alias("payload"))
-    return names.unionByName(inodes).unionByName(links)
+    return names.unionByName(inodes).unionByName(links).orderBy("kind", "key")
 
 
 def latest(log: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
