@@ -145,7 +145,9 @@ def pretty_bytes(n: Column) -> Column:
     """A number of bytes for people: whole bytes, else one decimal of a binary unit."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= 1 << 10 * k, F.concat(F.format_string("%.1f", n / float(1 << 10 * k)), F.lit(f" {unit}"))).otherwise(out)
+        # tenths, halves up, in whole numbers
+        tenths = F.floor((n * 10 + (1 << 10 * k - 1)) / F.lit(1 << 10 * k))
+        out = F.when(n >= 1 << 10 * k, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

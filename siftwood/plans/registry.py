@@ -771,7 +771,7 @@ def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.sample(_docs(spark, sf_dir), "doc_id", 8).select("doc_id")
 
 
-@query("pretty_sizes", f"WITH {FILES} SELECT path, CASE WHEN size >= 1048576 THEN printf('%.1f', size / 1048576.0) || ' MiB' WHEN size >= 1024 THEN printf('%.1f', size / 1024.0) || ' KiB' ELSE size || ' B' END AS shown FROM files")
+@query("pretty_sizes", f"WITH {FILES} SELECT path, CASE WHEN size >= 1048576 THEN (size * 10 + 524288) // 1048576 // 10 || '.' || (size * 10 + 524288) // 1048576 % 10 || ' MiB' WHEN size >= 1024 THEN (size * 10 + 512) // 1024 // 10 || '.' || (size * 10 + 512) // 1024 % 10 || ' KiB' ELSE size || ' B' END AS shown FROM files")
 def _pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.corpus_files(spark, sf_dir).select("path", stats.pretty_bytes(F.col("size")).alias("shown"))
 
