@@ -46,7 +46,7 @@ def test_bursts_match_the_fold_over_all_events(spark, duck):
 
     got = sorted((r.root, r.first_ms, r.last_ms, tuple(r.scopes), r.n) for r in registry.queries()["stream_bursts"](spark, DATA).collect())
     by: dict[str, list] = {}
-    for user, ms, kind in duck.execute("SELECT user_id, epoch_ms(ts) % 5000, event_type FROM events").fetchall():
+    for user, ms, kind in duck.execute("SELECT user_id, epoch_us(ts) // 1000 % 5000, event_type FROM events").fetchall():
         by.setdefault(str(user), []).append((ms, kind))
     want = sorted((root, a, b, tuple(s), n) for root, events in by.items() for a, b, s, n, _ in feeds.fold_bursts(sorted(events)))
     assert got == want
