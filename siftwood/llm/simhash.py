@@ -4,7 +4,8 @@ Fingerprints of 64 bits are linked at ``radius`` or fewer differing bits; a clas
 what links reach. Equal fingerprints are joined first. Different ones within the
 radius agree on all bits of at least 2 of 6 blocks (radius 4), so rows are exchanged
 by the 15 pairs of blocks; a bucket with more than HOT_BUCKET fingerprints is split
-by the 70 choices of 4 of 8 blocks, on which near fingerprints agree as well. Inside
+by the 70 choices of 4 of 8 blocks, on which near fingerprints agree as well. Any other
+radius takes 2 of radius + 2 blocks and 4 of radius + 4. Inside
 a bucket a pivot distance table holds every fingerprint's Hamming distances to
 PIVOTS reference fingerprints. The bucket is sorted by the first distance and swept;
 pairs whose largest coordinate difference exceeds the radius cannot be near (triangle
@@ -33,9 +34,20 @@ from siftwood.llm.words import blocks, text_bytes
 
 PIVOTS = 16
 HOT_BUCKET = 50_000
+#: Radius 8 leaves 12 bits to a pair of blocks.
+MOST_RADIUS = 8
 _SEED = 42
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes: bit set if set in over half of them."""
+    flat = np.ascontiguousarray(hashes, dtype="<u8")
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(flat), 1 << 14):
+        ones += np.unpackbits(flat[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(flat), bitorder="little").view("<u8")[0])
+
+
 def fingerprint_words(words: list[bytes], shingle: int = 4) -> int:
     """SimHash of lower-cased words: bit set if set in over half the shingle hashes."""
     import xxhash
@@ -51,11 +63,7 @@ def fingerprint_words(words: list[bytes], shingle: int = 4) -> int:
         start = np.append(0, np.cumsum(sizes))
         view, digest = memoryview(joined), xxhash.xxh64_intdigest
         hashes = [digest(view[a:b], _SEED) for a, b in zip(start[:n].tolist(), (start[shingle:] - 1).tolist(), strict=True)]
-    flat = np.array(hashes, dtype="<u8")
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(flat), 1 << 14):
-        ones += np.unpackbits(flat[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(flat), bitorder="little").view("<u8")[0])
+    return majority(np.array(hashes, dtype="<u8"))
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 4) -> DataFrame:
@@ -196,17 +204,17 @@ def _sweep(pivots: np.ndarray, radius: int):
 def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """a, b: a spanning forest of the links between the nodes of ``fps`` (node, fp),
     whose fingerprints all differ."""
-    if radius > 4:
-        raise ValueError("the blocks guarantee radii up to 4")
+    if radius > MOST_RADIUS:
+        raise ValueError(f"blocks are too small beyond a radius of {MOST_RADIUS}")
     partitions = shuffle_partitions(fps.sparkSession)
     reference = fps.select("fp").orderBy(F.xxhash64("fp")).limit(PIVOTS).collect()
     pivots = np.array([r.fp for r in reference] or [0], dtype=np.int64).view(np.uint64)
-    keyed = _keyed(fps, _masks(6, 2), "node")
+    keyed = _keyed(fps, _masks(radius + 2, 2), "node")
     hot = keyed.groupBy("m", "key").count().filter(F.col("count") > HOT_BUCKET).select("m", "key")
     hot = checkpoint(hot)
     usual = keyed.join(hot, ["m", "key"], "left_anti")
     split = keyed.join(hot, ["m", "key"]).select("node", "fp").distinct()
-    finer = _keyed(split, _masks(8, 4), "node").withColumn("m", F.col("m") + 100)
+    finer = _keyed(split, _masks(radius + 4, 4), "node").withColumn("m", F.col("m") + 100)
     every = usual.select("node", "fp", "m", "key").union(finer.select("node", "fp", "m", "key"))
     return every.repartition(partitions, "m", "key").sortWithinPartitions("m", "key").mapInArrow(_sweep(pivots, radius), "a long, b long")
 

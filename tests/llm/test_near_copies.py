@@ -8,7 +8,7 @@ import sys
 import numpy as np
 import pytest
 
-from siftwood.llm import near_copies
+from siftwood.llm import near_copies, simhash
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 SCHEMA = "doc_id long, text string"
@@ -56,6 +56,65 @@ def test_stage_merges_all_near_copies(spark, monkeypatch, frequent):
     assert sorted(r.doc_id for r in got) == sorted(want)
 
 
+def simhash_of(text):
+    """SimHash of a text's shingles, bit by bit."""
+    import pyarrow as pa
+
+    hashes = next(near_copies._sets(pa.array([text or ""]))).tolist()
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def test_stage_joins_by_simhash(spark, monkeypatch):
+    """Without the prefix filter the stage merges what is within the radius and near."""
+    import corpus_pipeline
+
+    rows, seen = corpus(), []
+    monkeypatch.setattr(near_copies, "candidates", lambda prints: prints.select(*[prints.node.alias(c) for c in "ab"]).limit(0))
+    monkeypatch.setattr(near_copies, "near_links", lambda fps, radius: seen.append(radius) or simhash.near_links(fps, radius), raising=False)
+    sets, prints = [shingles(t) for _, t in rows], [simhash_of(t) for _, t in rows]
+    of = list(range(len(rows)))
+    within = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if (prints[i] ^ prints[j]).bit_count() <= 6]
+    for i, j in within:
+        if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+            of = [of[i] if x == of[j] else x for x in of]
+    assert 5 < len(rows) - len(set(of)) < len(rows) - len(set(brute(rows)))
+    want = {min(rows[j][0] for j in range(len(rows)) if of[j] == c) for c in set(of)}
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "").collect()
+    assert sorted(r.doc_id for r in got) == sorted(want) and seen == [6]
+
+
+def test_pairs_that_simhash_has_joined_are_settled(spark):
+    pairs, found = [(1, 2), (1, 3), (2, 3), (3, 4), (5, 6), (6, 8), (7, 8)], [(1, 2), (2, 3), (5, 8), (6, 8), (9, 10)]
+    left = near_copies.unsettled(*[spark.createDataFrame(x, "a long, b long") for x in (pairs, found)])
+    assert sorted(map(tuple, left.collect())) == [(3, 4), (7, 8)]
+
+
+@pytest.mark.parametrize("radius", [2, 4, 6, 8])
+def test_near_links_reach_all_within_the_radius(spark, radius, monkeypatch):
+    rng = random.Random(radius)
+    fps = [rng.getrandbits(64) for _ in range(40)]
+    for fp in fps[:20]:
+        for _ in range(3):
+            for k in rng.sample(range(64), rng.randint(1, radius + 2)):
+                fp ^= 1 << k
+            fps.append(fp)
+    fps = sorted(set(fps))
+    of = list(range(len(fps)))
+    for i, j in itertools.combinations(range(len(fps)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= radius:
+            of = [of[i] if x == of[j] else x for x in of]
+    assert len(fps) - len(set(of)) > 10
+    nodes = spark.createDataFrame([(i, fp - (1 << 64) if fp >> 63 else fp) for i, fp in enumerate(fps)], "node long, fp long")
+    for hot in (simhash.HOT_BUCKET, 1):
+        monkeypatch.setattr(simhash, "HOT_BUCKET", hot)
+        links = [(r.a, r.b) for r in simhash.near_links(nodes, radius).collect()]
+        assert all((fps[a] ^ fps[b]).bit_count() <= radius for a, b in links)
+        got = list(range(len(fps)))
+        for a, b in links:
+            got = [got[a] if x == got[b] else x for x in got]
+        assert len(set(got)) == len(set(of)) == len(set(zip(got, of, strict=True)))
+
+
 def test_sweep_carries_groups_over_batches():
     import pyarrow as pa
 
