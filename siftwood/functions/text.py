@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftwood.functions.patterns import ascii_lower
+from siftwood.functions.patterns import ascii_lower, quote
 
 WORD = r"[\p{IsAlphabetic}\p{N}_]+"
 UNIT = r"[\p{IsAlphabetic}\p{N}]+"
 #: Where a run splits into parts, besides underscores.
 EDGE = r"(?<=\p{N})(?=[^\p{N}_])|(?<=[^\p{N}_])(?=\p{N})|(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
+#: What a run with parts holds.
+PARTED = r"[\p{N}_]|\p{Ll}\p{Lu}|\p{Lu}\p{Lu}\p{Ll}"
 MAX_TOKEN_BYTES = 64
 
 
@@ -26,16 +29,38 @@ def units(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(text, EDGE, " "), F.lit(UNIT), F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """A body that uses a value several times; the value is computed once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
-    """The different tokens of a text in lower case: whole runs and their parts."""
-    return F.array_distinct(F.transform(F.concat(runs(text), units(text)), F.lower))
+    """The different tokens of a text in lower case: whole runs and their parts. Parts lie
+    inside runs, so they are looked for once in each different run that can have any."""
+
+    def with_parts(whole: Column) -> Column:
+        parts = units(F.array_join(F.filter(whole, lambda r: r.rlike(PARTED)), " "))
+        return F.array_distinct(F.transform(F.concat(whole, parts), F.lower))
+
+    return let(F.array_distinct(runs(text)), with_parts)
 
 
 def capped_tokens(text: Column) -> Column:
     """tokens(), each at most MAX_TOKEN_BYTES long; only texts with a longer one pay for it."""
-    found = tokens(text)
-    long = F.exists(found, lambda t: F.octet_length(t) > MAX_TOKEN_BYTES)
-    return F.when(long, F.array_distinct(F.transform(found, capped))).otherwise(found)
+
+    def cut(found: Column) -> Column:
+        long = F.exists(found, lambda t: F.octet_length(t) > MAX_TOKEN_BYTES)
+        return F.when(long, F.array_distinct(F.transform(found, capped))).otherwise(found)
+
+    return let(tokens(text), cut)
+
+
+def may_hold(text: Column, terms: list[str]) -> Column:
+    """Whether a text can have one of some tokens: false only where it has none. Letters that
+    lower() turns into ASCII ones fold here too; other terms aren't looked for."""
+    if not all(t.isascii() for t in terms):
+        return F.lit(True)
+    return text.rlike("(?iu)" + "|".join(quote(t) for t in terms)) if terms else F.lit(False)
 
 
 def capped(token: Column) -> Column:
@@ -119,6 +144,11 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(ascii_lower(as_bytes(text)), F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
+def trigrams_among(text: Column, keys: list[str]) -> Column:
+    """Those of some trigrams, all ASCII, that are in a text: trigrams() for these keys only."""
+    return F.array_compact(F.array(*[F.when(text.rlike("(?is)" + quote(k)), F.lit(k)) for k in keys]))
+
+
 def trigram_keys(literal: str) -> list[str]:
     folded = "".join(chr(b + 32) if 65 <= b <= 90 else chr(b) for b in literal.encode())
     return sorted({folded[i : i + 3] for i in range(len(folded) - 2)})

@@ -604,14 +604,13 @@ _sets("postings_not", f"SELECT doc_id FROM documents WHERE NOT {_IN.format('the'
 
 @query("trigram_candidates", "SELECT doc_id FROM documents WHERE contains(lower(text), 'shi') AND contains(lower(text), 'hin') AND contains(lower(text), 'ing') AND contains(lower(text), 'tio') AND contains(lower(text), 'ion')")
 def _trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = index.build(_docs(spark, sf_dir)).grams
-    return trigram.candidates(grams, trigram.derive("shing[a-z]*tion"))
+    return index.candidates(index.build(_docs(spark, sf_dir)), trigram.derive("shing[a-z]*tion"))
 
 
 @query("trigram_grep", "SELECT doc_id FROM documents WHERE regexp_matches(text, 'shing[a-z]*tion')")
 def _trigram_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    few = trigram.candidates(index.build(docs).grams, trigram.derive("shing[a-z]*tion"))
+    few = index.candidates(index.build(docs), trigram.derive("shing[a-z]*tion"))
     return docs.join(few, "doc_id", "left_semi").filter(F.col("text").rlike("shing[a-z]*tion")).select("doc_id")
 
 
@@ -619,8 +618,8 @@ def _trigram_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _trigram_screened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rarest keys only, then the regex."""
     docs, pattern = _docs(spark, sf_dir), "tion(st|re)[a-z]*ing"
-    grams, asked = index.build(docs).grams, trigram.derive(pattern)
-    few = trigram.candidates(grams, trigram.weaken(asked, index.key_counts(grams, asked), rarest=2))
+    built, asked = index.build(docs), trigram.derive(pattern)
+    few = index.candidates(built, trigram.weaken(asked, index.key_counts(built, asked), rarest=2))
     return docs.join(few, "doc_id", "left_semi").filter(F.col("text").rlike(pattern)).select("doc_id")
 
 
