@@ -8,6 +8,7 @@ match the empty string (their iteration differs from Java's) and multiline match
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -300,8 +301,7 @@ def count_lines(docs: DataFrame, plan: Plan, key: list[str], text: str = "text")
 def count_matches(docs: DataFrame, plan: Plan, key: list[str], text: str = "text") -> DataFrame:
     """--count-matches: spans, empty ones included."""
     rows = selected(docs, plan, key, text)
-    n = line_spans(plan)(F.col("line")) if plan.may_be_empty else None
-    n = F.size(n) if n is not None else F.regexp_count("line", F.lit(plan.regex))
+    n = span_counts(plan)(F.col("line")) if plan.may_be_empty else F.regexp_count("line", F.lit(plan.regex))
     return _with_zeros(docs, rows.groupBy(*key).agg(F.sum(n).cast("long").alias("n")), plan, key)
 
 
@@ -394,20 +394,38 @@ def spans(pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
         yield m.start(), m.end()
 
 
-def line_spans(plan: Plan):
-    """Arrow UDF: byte spans (start, end) of a line's matches."""
+def span_counts(plan: Plan):
+    """Arrow UDF: how many matches a line has. None of them is kept."""
     pattern = plan.python
 
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def run(lines):
-        import pandas as pd
+    @F.arrow_udf("long")
+    def run(lines: pa.Array) -> pa.Array:
+        return pa.array([sum(1 for _ in spans(pattern, x.as_py())) for x in lines], pa.int64())
+
+    return run
+
 
-        def one(line: str) -> list[dict]:
-            plain = line.isascii()
-            at = (lambda k: k) if plain else (lambda k: len(line[:k].encode()))
-            return [{"start": at(a), "end": at(b)} for a, b in spans(pattern, line)]
+def line_spans(plan: Plan):
+    """Arrow UDF: byte spans (start, end) of a line's matches, eight bytes each."""
+    pattern = plan.python
 
-        return pd.Series([one(x) for x in lines])
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def run(lines: pa.Array) -> pa.Array:
+        starts, ends, offsets = array("i"), array("i"), array("i", [0])
+        for line in lines:
+            line = line.as_py()
+            plain, at, before = line.isascii(), 0, 0
+            for a, b in spans(pattern, line):
+                if not plain:
+                    # spans come in order: a text is encoded once from match to match
+                    before, at, size = before + len(line[at:a].encode()), b, len(line[a:b].encode())
+                    a, b = before, before + size
+                    before = b
+                starts.append(a)
+                ends.append(b)
+            offsets.append(len(starts))
+        starts, ends, offsets = (pa.Array.from_buffers(pa.int32(), len(x), [None, pa.py_buffer(x)]) for x in (starts, ends, offsets))
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([starts, ends], names=["start", "end"]))
 
     return run
 
