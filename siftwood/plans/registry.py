@@ -591,7 +591,7 @@ def _sets(name: str, sql: str, combine: Callable) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = _docs(spark, sf_dir)
         built = index.build(docs)
-        sure = lambda t: index.documents_with(built.postings, t).withColumn("truth", F.lit(True))
+        sure = lambda t: index.documents_with(built.with_terms([t]), t).withColumn("truth", F.lit(True))
         return combine(sure, docs.select("doc_id")).filter("truth").select("doc_id")
 
 
