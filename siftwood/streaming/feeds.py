@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,23 +22,34 @@ def change_feed(spark: SparkSession, folder: str, schema: str, files_per_trigger
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+def folded(events: Iterable[tuple[str | None, int, str]]) -> Iterator[tuple[str | None, int, int, list[str], int, bool]]:
+    """Bursts (root, first, last, scopes, events, backstop) of events (root, ms, scope) that
+    come root by root in time order. Only the open burst is held, and its scopes as long as
+    they aren't too many."""
+    root = first = last = None
+    scopes, size, n, over = set(), 0, 0, False
+    for at, ms, scope in events:
+        if n and at == root and ms < min(last + QUIET_MS, first + MOST_AGE_MS):
+            n += 1
+        else:
+            if n:
+                yield root, first, last, sorted(scopes), n, over
+            root, first, scopes, size, n, over = at, ms, set(), 0, 1, False
+        last = ms
+        if not over and scope not in scopes:
+            scopes.add(scope)
+            size += len(scope.encode())
+            if len(scopes) > MOST_PENDING or size > MOST_BYTES:
+                over, scopes = True, set()
+    if n:
+        yield root, first, last, sorted(scopes), n, over
+
+
 def fold_bursts(events: list[tuple[int, str]]) -> list[tuple[int, int, list[str], int, bool]]:
     """Bursts (first, last, scopes, events, backstop) of one root's events (ms, scope) in
     time order: a burst is due 200 ms after its last or 1 s after its first event. Too
     many scopes or bytes escalate it to a full backstop."""
-    out: list[list] = []
-    for ms, scope in events:
-        if out and ms < min(out[-1][1] + QUIET_MS, out[-1][0] + MOST_AGE_MS):
-            out[-1][1] = ms
-            out[-1][2].add(scope)
-            out[-1][3] += 1
-        else:
-            out.append([ms, ms, {scope}, 1])
-    done = []
-    for first, last, scopes, n in out:
-        over = len(scopes) > MOST_PENDING or sum(len(s.encode()) for s in scopes) > MOST_BYTES
-        done.append((first, last, [] if over else sorted(scopes), n, over))
-    return done
+    return [burst[1:] for burst in folded((None, ms, scope) for ms, scope in events)]
 
 
 #: Events of one root are looked at in stretches of so many milliseconds.
@@ -68,16 +81,18 @@ def sessions(events: DataFrame) -> DataFrame:
 
 def bursts(events: DataFrame) -> DataFrame:
     """The same over a table (root, ms, scope). Gaps of the quiet time always part bursts, so
-    sessions by gap come first, and only a session is folded in one task."""
-    rows = sessions(events)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ms", "scope"])
-        found = fold_bursts(list(zip(pdf.ms.tolist(), pdf.scope.tolist(), strict=True)))
-        root = pdf.root.iloc[0]
-        return pd.DataFrame([(root, a, b, s, n, over, min(b + QUIET_MS, a + MOST_AGE_MS)) for a, b, s, n, over in found], columns=[c.split()[0] for c in BURST.split(", ")])
-
-    return rows.groupBy("root", "session").applyInPandas(fold, BURST)
+    sessions by gap come first, and only a session has to lie in one task. A task folds its
+    sorted sessions one behind the other, however many they are."""
+    rows = sessions(events).repartition("root", "session").sortWithinPartitions("root", "ms", "scope").select("root", "ms", "scope")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = folded(event for batch in batches for event in zip(*(batch.column(c).to_pylist() for c in ("root", "ms", "scope")), strict=True))
+        types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.bool_(), pa.int64()]
+        for some in itertools.batched(found, 2000):
+            columns = zip(*((*burst, min(burst[2] + QUIET_MS, burst[1] + MOST_AGE_MS)) for burst in some), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in BURST.split(", ")])
+
+    return rows.mapInArrow(fold, BURST)
 
 
 def stream_bursts(events: DataFrame) -> DataFrame:
