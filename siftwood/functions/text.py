@@ -14,6 +14,8 @@ WORD = r"[\p{IsAlphabetic}\p{N}_]+"
 UNIT = r"[\p{IsAlphabetic}\p{N}]+"
 #: Where a run splits into parts, besides underscores.
 EDGE = r"(?<=\p{N})(?=[^\p{N}_])|(?<=[^\p{N}_])(?=\p{N})|(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
+#: A run that may be base64, with its padding.
+BLOB = "[A-Za-z0-9+/_-]{20,}={0,2}"
 #: What a run with parts holds.
 PARTED = r"[\p{N}_]|\p{Ll}\p{Lu}|\p{Lu}\p{Lu}\p{Ll}"
 MAX_TOKEN_BYTES = 64
@@ -169,24 +171,23 @@ def strip_bom(text: Column) -> Column:
 
 
 def without_blobs(text: Column) -> Column:
-    """The text with its base64-like runs blanked; texts without a long run of such
-    characters stay in the JVM."""
+    """The text with its base64-like runs blanked. Only the long runs of such characters go
+    to Python; whether one goes is a matter of the run alone."""
 
-    @F.pandas_udf("string")
-    def blank(texts):
+    @F.pandas_udf("array<string>")
+    def blank(found):
         import pandas as pd
 
-        def one(value: str | None) -> str | None:
-            if value is None:
-                return None
-            for a, b in reversed(base64_spans(value)):
-                value = value[:a] + " " + value[b:]
-            return value
+        def one(run: str) -> str:
+            for a, b in reversed(base64_spans(run)):
+                run = run[:a] + " " + run[b:]
+            return run
 
-        return pd.Series([one(x) for x in texts])
+        return pd.Series([None if x is None else [one(r) for r in x] for x in found])
 
-    suspect = text.rlike("[A-Za-z0-9+/_-]{20,}")
-    return F.coalesce(blank(F.when(suspect, text)), text)
+    blanked = blank(F.when(text.rlike(BLOB), F.regexp_extract_all(text, F.lit(BLOB), F.lit(0))))
+    pieces = F.zip_with(F.split(text, BLOB, -1), blanked, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(blanked.isNotNull(), F.array_join(pieces, "")).otherwise(text)
 
 
 def base64_spans(text: str) -> list[tuple[int, int]]:
