@@ -666,7 +666,7 @@ def _uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("postings_maybe", f"WITH {_TOKENS} SELECT count(*) AS n, count(*) FILTER (doc_id BETWEEN 20 AND 90) AS inside, 0::BIGINT AS sure FROM documents WHERE {_IN.format('with')}")
 def _maybe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = index.maybe(index.documents_with(index.build(_docs(spark, sf_dir)).postings, "with"))
+    rows = index.maybe(index.documents_with(index.build(_docs(spark, sf_dir)).with_terms(["with"]), "with"))
     return rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("doc_id").between(20, 90), 1)).alias("inside"), F.count("truth").alias("sure"))
 
 
